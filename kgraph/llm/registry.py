@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgraph.llm import sharding
+from kgraph.llm import sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +19,25 @@ def op1_shard_lpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS hex, min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::INTEGER) >> (15 - 5 * (i % 4)))::INTEGER & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM d
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shard_lpt,)}
+    return {f.__name__: f for f in (op1_shard_lpt, op2_warc_index)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc_index": OP2_SQL}
