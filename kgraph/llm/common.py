@@ -71,17 +71,18 @@ def running_offset(counts: DataFrame, within: Iterable[str], order: Iterable[str
     return counts.withColumn(out, F.coalesce(F.sum(n).over(w), F.lit(0)).cast("long"))
 
 
-def dense_rank_in(df: DataFrame, group: list[str], hashed: Column, order: list[Column], buckets: int, out: str) -> DataFrame:
-    """Gapless numbers from 0 within each group, without bringing a group into one task: rows of a group
-    fall into hash buckets, a histogram over (group, bucket) gives each bucket its first number, and only
-    rows of one bucket are sorted together. The order is deterministic: by bucket, then by ``order``."""
-    df = df.withColumn("_b", F.pmod(hashed, F.lit(buckets)).cast("int"))
-    first = running_offset(df.groupBy(*group, "_b").agg(F.count("*").alias("n")), group, ["_b"], out="_first").drop("n")
-    numbered = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*group, "_b").orderBy(*order)))
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in group] + [F.col("l._b") == F.col("r._b")]
-    cond = same[0]
-    for x in same[1:]:
-        cond = cond & x
-    joined = numbered.alias("l").join(first.alias("r"), cond)
-    keep = [F.col(f"l.`{c}`") for c in df.columns if c != "_b"]
-    return joined.select(*keep, (F.col("r._first") + F.col("l._rn") - 1).cast("long").alias(out))
+def dense_rank_in(df: DataFrame, group: list[str], cells: dict[str, Column], order: list[Column], out: str) -> DataFrame:
+    """Gapless numbers from 0 within each group, without bringing a group into one task: a group falls
+    into cells, a histogram over (group, cell) gives each cell its first number, and only the rows of one
+    cell are sorted together. The order is deterministic: by cell, then by ``order``. Group columns and
+    cells must not be null, so that both sides of the join share one exchange."""
+    df = df.withColumns(cells)
+    keys = [*group, *cells]
+    first = running_offset(df.groupBy(*keys).agg(F.count("*").alias("n")), group, list(cells), out="_first").drop("n")
+    numbered = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    kept = [c for c in df.columns if c not in cells]
+    return numbered.join(first, keys).select(*(F.col(f"`{c}`") for c in kept), (F.col("_first") + F.col("_rn") - 1).cast("long").alias(out))
+
+
+def hash_cell(n: int, *by: str) -> dict[str, Column]:
+    return {"_b": F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")}

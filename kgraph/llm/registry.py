@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgraph.llm import sharding, warc
+from kgraph.llm import mixing, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +35,12 @@ FROM d
 """
 
 
+def op8_mix_systematic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan_mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shard_lpt, op2_warc_index)}
+    return {f.__name__: f for f in (op1_shard_lpt, op2_warc_index, op8_mix_systematic)}
 
 
 def oracle_sql() -> dict[str, str]:

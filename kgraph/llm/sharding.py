@@ -86,7 +86,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", te
     dealt, _ = schedule(hist["_bytes"].to_numpy(np.int64), hist["groups"].to_numpy(np.int64), n_shards)
     ends = np.cumsum(dealt, axis=1)
     plan = spark.createDataFrame([(int(b), [int(x) for x in e]) for b, e in zip(hist["_bytes"], ends)], "_plan_bytes long, _ends array<long>")
-    ranked = common.dense_rank_in(groups, ["_bytes"], F.xxhash64("_key"), [F.col("_key")], common.bucket_count(total), "_rank")
+    ranked = common.dense_rank_in(groups, ["_bytes"], common.hash_cell(common.bucket_count(total), "_key"), [F.col("_key")], "_rank")
     if len(hist) <= 100_000:
         plan = F.broadcast(plan)
     placed = ranked.join(plan, F.col("_bytes") == F.col("_plan_bytes"))
@@ -95,6 +95,6 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", te
     if not carry:
         rows = common.save(rows, "shard-placed")
     n_rows = int(hist["rows"].sum())
-    out = common.dense_rank_in(rows, ["shard"], F.xxhash64("_id", "_key"), [F.col("_id"), F.col("_key")], common.bucket_count(n_rows), "slot")
+    out = common.dense_rank_in(rows, ["shard"], common.hash_cell(common.bucket_count(n_rows), "_id", "_key"), [F.col("_id"), F.col("_key")], "slot")
     carried = [F.col(f"_carried.`{c}`") for c in carry if c != id_col]
     return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit(LAW).alias("law"), "shard", "slot", *carried)
