@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,3 +87,54 @@ def dense_rank_in(df: DataFrame, group: list[str], cells: dict[str, Column], ord
 
 def hash_cell(n: int, *by: str) -> dict[str, Column]:
     return {"_b": F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")}
+
+
+def scan_rows(df: DataFrame, columns: list[Column]) -> DataFrame:
+    """Rows with their place in a file: (file, row, *columns). A DataFrame that isn't a scan of Parquet
+    files is written to the scratch folder first."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    try:
+        return df.select(*place, *columns)
+    except AnalysisException:
+        return save(df, "scan").select(*place, *columns)
+
+
+class SideFiles:
+    """Answers for rows of a scan, kept in the shared folder so that a second scan can look them up
+    without shuffling the rows themselves. df has one row for each answer; the answers of one source file
+    are written together, sorted, and a reader takes those of one chunk through Parquet's statistics."""
+
+    def __init__(self, df: DataFrame, file: str, order: list[str], name: str) -> None:
+        spark = df.sparkSession
+        self.path = scratch_path(spark, name)
+        keyed = df.withColumn("side", F.sha1(F.col(file)))
+        stretch = F.floor(F.col(order[0]) / 64)
+        keyed.repartition("side", stretch).sortWithinPartitions("side", *order).write.option("compression", "zstd").partitionBy("side").parquet(self.path)
+
+    def reader(self) -> "SideReader":
+        return SideReader(self.path, 64)
+
+
+class SideReader:
+    def __init__(self, path: str, stretch: int) -> None:
+        self.path, self.stretch, self.at, self.table = path, stretch, None, {}
+
+    def rows(self, file: str, chunk: int, columns: list[str]):
+        """Answers of a chunk; the stretch of chunks around it is kept."""
+        import hashlib
+
+        import pyarrow.dataset as ds
+        from pyarrow import fs as pafs
+
+        at = (file, chunk // self.stretch)
+        if self.at != at:
+            fs, root = pafs.FileSystem.from_uri(self.path)
+            folder = f"{root}/side={hashlib.sha1(file.encode()).hexdigest()}"
+            self.at, self.table = at, {}
+            if fs.get_file_info(folder).type != pafs.FileType.NotFound:
+                field = ds.field("chunk")
+                low = at[1] * self.stretch
+                found = ds.dataset(folder, filesystem=fs, format="parquet").to_table(columns=["chunk", *columns], filter=(field >= low) & (field < low + self.stretch))
+                for key, *row in zip(*(c.to_pylist() for c in found.columns)):
+                    self.table.setdefault(key, []).append(row)
+        return self.table.get(chunk, [])
