@@ -93,10 +93,16 @@ def scan_rows(df: DataFrame, columns: list[Column]) -> DataFrame:
     """Rows with their place in a file: (file, row, *columns). A DataFrame that isn't a scan of Parquet
     files is written to the scratch folder first."""
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    return as_scan(df).select(*place, *columns)
+
+
+def as_scan(df: DataFrame) -> DataFrame:
+    """df itself if it is a scan of Parquet files, else a written copy."""
     try:
-        return df.select(*place, *columns)
+        df.select("_metadata.row_index")
+        return df
     except AnalysisException:
-        return save(df, "scan").select(*place, *columns)
+        return save(df, "scan")
 
 
 class SideFiles:

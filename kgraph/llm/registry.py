@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgraph.llm import mixing, sharding, substring_dedup, warc
+from kgraph.llm import mixing, sharding, simhash_dedup, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,8 +56,12 @@ def op8_mix_systematic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), 4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shard_lpt, op2_warc_index, op4_substring_dedup, op8_mix_systematic)}
+    return {f.__name__: f for f in (op1_shard_lpt, op2_warc_index, op4_substring_dedup, op8_mix_systematic, op9_simhash_golay)}
 
 
 def oracle_sql() -> dict[str, str]:
