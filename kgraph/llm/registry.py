@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgraph.llm import mixing, sharding, simhash_dedup, substring_dedup, warc
+from kgraph.llm import mixing, quality_classifier, quality_rules, sharding, simhash_dedup, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ FROM d
 """
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), keep=("doc_id",))
+    return out.select("doc_id", *(f"stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), 13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -52,6 +57,10 @@ FROM d LEFT JOIN left_ ON d.doc_id = left_.doc_id
 """
 
 
+def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_mix_systematic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -61,7 +70,7 @@ def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shard_lpt, op2_warc_index, op4_substring_dedup, op8_mix_systematic, op9_simhash_golay)}
+    return {f.__name__: f for f in (op1_shard_lpt, op2_warc_index, op3_quality_rules, op4_substring_dedup, op7_rule_ensemble, op8_mix_systematic, op9_simhash_golay)}
 
 
 def oracle_sql() -> dict[str, str]:
