@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgraph.llm import mixing, quality_classifier, quality_rules, sharding, simhash_dedup, substring_dedup, toxicity, warc
+from kgraph.llm import decontamination, mixing, quality_classifier, quality_rules, sharding, simhash_dedup, substring_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ FROM d LEFT JOIN left_ ON d.doc_id = left_.doc_id
 """
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -74,7 +78,7 @@ def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shard_lpt, op2_warc_index, op3_quality_rules, op4_substring_dedup, op6_toxicity_ordinal, op7_rule_ensemble, op8_mix_systematic, op9_simhash_golay)}
+    return {f.__name__: f for f in (op1_shard_lpt, op2_warc_index, op3_quality_rules, op4_substring_dedup, op5_decontaminate, op6_toxicity_ordinal, op7_rule_ensemble, op8_mix_systematic, op9_simhash_golay)}
 
 
 def oracle_sql() -> dict[str, str]:
