@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgraph.llm import decontamination, mixing, quality_classifier, quality_rules, sharding, simhash_dedup, substring_dedup, toxicity, warc
+from kgraph.llm import decontamination, html_text, mixing, quality_classifier, quality_rules, sharding, simhash_dedup, substring_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,8 +77,12 @@ def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), 4)
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shard_lpt, op2_warc_index, op3_quality_rules, op4_substring_dedup, op5_decontaminate, op6_toxicity_ordinal, op7_rule_ensemble, op8_mix_systematic, op9_simhash_golay)}
+    return {f.__name__: f for f in (op1_shard_lpt, op2_warc_index, op3_quality_rules, op4_substring_dedup, op5_decontaminate, op6_toxicity_ordinal, op7_rule_ensemble, op8_mix_systematic, op9_simhash_golay, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
