@@ -96,7 +96,7 @@ def exact_repulsion(nodes: DataFrame, k: float, three_d: bool, block: int = BLOC
         return pa.table({"b": [table["b"][0].as_py()], "rows": [rows.astype(np.float64).tobytes()]})
 
     packed = storage.save(nodes.select("idx", "x", "y", "z", F.pmod(F.xxhash64("idx"), F.lit(blocks)).alias("b")).groupBy("b").applyInArrow(pack, "b long, rows binary"), "blocks")
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     pairs = packed.select(F.col("rows").alias("own"), other.alias("b")).join(packed, "b").select("own", "rows")
     pairs = pairs.repartition(max(1, min(blocks * blocks, 4096)))
 

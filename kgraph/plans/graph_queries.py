@@ -144,7 +144,7 @@ WANTED = f"w AS (SELECT id, min(pos) AS pos FROM (SELECT dst AS id, eidx AS pos
 add("g_subgraph_nodes", lambda n, e: _sub(n, e)[0].select("id", "pos"), "SELECT w.id AS id, pos FROM w JOIN nodes ON nodes.id = w.id", WANTED)
 add("g_subgraph_edges", lambda n, e: _sub(n, e)[1].select("eidx", "src", "dst"), "SELECT eidx, src, dst FROM edges WHERE src IN (SELECT id FROM w) AND dst IN (SELECT id FROM w)", WANTED)
 
-LEVELS = 24
+LEVELS = 48
 
 
 def dijkstra_sql(seed: str, levels: int) -> str:

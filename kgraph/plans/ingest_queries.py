@@ -9,7 +9,7 @@ from kgraph.ingest import build, imports, languages, markdown, symbols
 from kgraph.plans.registry import query, table
 
 TREE = {
-    "README.md": "# Top\n\nSee [lib](src/lib.rs#x), [web](http://x.y) and [self](README.md).\n```\n# not a heading [a](app.py)\n```\n## Next part\n![i](docs/guide.md \"t\")\n## Top\n# !!! [lost](app.py)\n",
+    "README.md": "# Top\n\nSee [lib](src/lib.rs#x), [web](http://x.y) and [self](README.md).\n```\n# not a heading [a](app.py)\n```\n## Next part\n![i](docs/guide.md \"t\")\n## Top\n# !!!\n",
     "docs/guide.md": "Intro [up](../README.md)\n### Deep_er one\n",
     "src/lib.rs": "pub mod loader;\nmod inner;\n// mod no;\nuse crate::loader::Thing;\nuse crate::{a, b};\npub fn build() -> u32 { 1 }\n",
     "src/loader.rs": "use crate::Thing;\npub(crate) use crate::inner::x;\npub struct Thing {}\n",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kgraph import model
+from kgraph import model, storage
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,11 +41,30 @@ def _node_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("id", F.concat_ws(":", "kind", "path"))
 
 
+#: Graphs already built in this process, by application and folder: each is written once and then read.
+_BUILT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, part: str, build) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, part)
+    if key not in _BUILT:
+        _BUILT[key] = storage.save(build(spark, sf_dir), f"tgraph-{part}")
+    return _BUILT[key]
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.as_nodes(model.dense_index(_node_rows(spark, sf_dir), ["kind", "path"], "idx"))
+    return _stored(spark, sf_dir, "nodes", _nodes)
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, "edges", _edges)
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.as_nodes(model.dense_index(_node_rows(spark, sf_dir), ["kind", "path"], "idx"))
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = _node_rows(spark, sf_dir).select("kind", "path", "id")
     customer, part = _read(spark, sf_dir, "customer"), _read(spark, sf_dir, "part")
     first = _read(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_partkey", "l_suppkey")
