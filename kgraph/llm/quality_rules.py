@@ -142,23 +142,26 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Returns the columns named by ``keep`` (all, if None), stats, base_failed and kept. A row fails the
     base rule with fewer than 10 words or over 20 % of its words in repeated 5-word windows; null and
-    empty texts fail it. Other rows are kept unless a rule of the learned list rejects them; with no
+    empty texts fail it. Columns of docs that are named like the new ones are left out. Other rows are kept unless a rule of the learned list rejects them; with no
     labels the list is empty. Labels of ids that docs lack, null labels and repeated labels do no harm.
     The statistics are taken once, written to the shared folder, and learned from and judged there.
     """
     from kgraph.llm import common
 
-    keep = tuple(docs.columns) if keep is None else keep
+    made = ("stats", "base_failed", "kept")
+    keep = tuple(c for c in (docs.columns if keep is None else keep) if c not in made)
     stats = common.save(text_stats.with_stats(docs, text_col, tuple(dict.fromkeys((*keep, id_col)))), "stats")
     rules = learn_from(stats, labels, most_labels, id_col)
     return stats.select(*(F.col(f"`{c}`") for c in keep), "stats", base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that ``judge`` rejects, with all their columns. The list is learned in a
-    first scan over the labelled rows alone, so that texts are written once, as the result."""
-    some = labels.select(F.col("doc_id").alias("_label_id")).distinct()
-    known = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(some, F.col("_doc") == F.col("_label_id"), "left_semi")
-    rules = learn_from(text_stats.with_stats(known, "_text", ("_doc",)), labels, id_col="_doc")
-    judged = text_stats.with_stats(docs, text_col)
-    return judged.filter(~base_failed() & verdict(rules)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """docs without the rows that ``judge`` rejects, with all their columns. The statistics are taken twice,
+    once to learn from and once beside the texts, so that no text is shuffled or written but the result."""
+    from kgraph.llm import common
+
+    stats = common.save(text_stats.with_stats(docs, text_col, (id_col,)), "stats")
+    rules = learn_from(stats, labels, id_col=id_col)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    judged = text_stats.with_stats(docs.toDF(*names), names[docs.columns.index(text_col)])
+    return judged.filter(~base_failed() & verdict(rules)).select(*names).toDF(*docs.columns)
