@@ -6,9 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: ASCII white space that separates words; ``bytes.split()`` splits on exactly these six.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -105,6 +108,39 @@ def as_scan(df: DataFrame) -> DataFrame:
         return save(df, "scan")
 
 
+SIDE_CHUNK = 256
+
+
+def attach(docs: DataFrame, answers: DataFrame, fields: dict[str, T.DataType], name: str) -> DataFrame:
+    """docs with the columns ``fields`` of answers (file, row, ...), null for rows without an answer. docs
+    is scanned again and looks its answers up in side files, so its own columns are never shuffled. docs
+    must be a scan of Parquet files; clashing names are kept apart by position."""
+    docs = as_scan(docs)
+    names = docs.columns
+    keyed = answers.select("file", "row", *fields).withColumn("chunk", F.floor(F.col("row") / SIDE_CHUNK).cast("long"))
+    side = SideFiles(keyed, "file", ["chunk", "row"], name)
+    inputs = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
+    kept = [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(names)]
+    added = [T.StructField(f"a{i}", t) for i, t in enumerate(fields.values())]
+    kinds = [to_arrow_type(t) for t in fields.values()]
+
+    def run(batches):
+        reader = side.reader()
+        for batch in batches:
+            found = []
+            at, rows = None, {}
+            for file, row in zip(batch.column("file").to_pylist(), batch.column("row").to_pylist()):
+                if at != (file, row // SIDE_CHUNK):
+                    at = (file, row // SIDE_CHUNK)
+                    rows = {r: x for r, *x in reader.rows(file, row // SIDE_CHUNK, ["row", *fields])}
+                found.append(rows.get(row) or [None] * len(fields))
+            values = list(zip(*found)) if found else [[] for _ in fields]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *(pa.array(v, k) for v, k in zip(values, kinds))], names=[*(f.name for f in kept), *(f.name for f in added)])
+
+    out = scan_rows(docs, inputs).mapInArrow(run, T.StructType([*kept, *added]))
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), *(F.col(f"a{i}").alias(c) for i, c in enumerate(fields)))
+
+
 class SideFiles:
     """Answers for rows of a scan, kept in the shared folder so that a second scan can look them up
     without shuffling the rows themselves. df has one row for each answer; the answers of one source file

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kgraph.llm import common
 
@@ -38,11 +39,11 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WE
     return out
 
 
-def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", place: bool = False) -> DataFrame:
     """How many copies of every row the mix takes.
 
-    Returns id_col, source, size (words of the text; null text: 0), source_size, target, copies, then the
-    columns named by ``carry`` in a struct ``carried``. copies is at most the ceiling rounded up. Rerun,
+    Returns id_col, source, size (words of the text; null text: 0), source_size, target and copies; with
+    ``place`` also file and row, each row's place in the scan of docs. copies is at most the ceiling rounded up. Rerun,
     the mix is the same: the offset is a hash of seed and source, ties of size go by a hash of id and
     text, and repeated rows share their stretch in either order. Null sources are one source, weighed
     last. A source without words has target 0 and gives no copies. An empty table gives no rows.
@@ -51,18 +52,16 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     rows is ranked in cells of one size and hash bucket, never in one task.
     """
     spark = docs.sparkSession
-    base = docs.select(
+    columns = [
         F.col(id_col).alias("_id"), F.col(source_col).isNull().alias("_none"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source"),
         common.count_words(F.col(text_col)).alias("_size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_tie"),
-        *(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried") for _ in range(bool(carry))),
-    )
-    if not carry:
-        base = common.save(base, "mix-rows")
+    ]
+    base = common.save(common.scan_rows(docs, columns) if place else docs.select(*columns), "mix-rows")
     found = base.groupBy("_none", "_source").agg(F.sum("_size").alias("size"), F.count("*").alias("n")).collect()
     wanted = targets([(None if r["_none"] else r["_source"], r["size"]) for r in found], weights, share, ceiling)
     rows = [(r["_none"], r["_source"], r["size"], wanted[None if r["_none"] else r["_source"]]) for r in found]
     plan = spark.createDataFrame(rows, "_none boolean, _source string, source_size long, target double")
-    cells = {"_cell": F.col("_size")} | common.hash_cell(max(1, sum(r["n"] for r in found) // common.ROWS_PER_BUCKET), "_tie")
+    cells = {"_cell": F.col("_size")} | common.hash_cell(common.bucket_count(sum(r["n"] for r in found)), "_tie")
     ranked = common.dense_rank_in(base, ["_none", "_source"], cells, [F.col("_tie"), F.col("_id")], "_rank")
     if len(rows) <= 100_000:
         plan = F.broadcast(plan)
@@ -71,10 +70,14 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     copies = F.floor((F.col("_rank") + 1) * F.col("_rate") + F.col("_offset")) - F.floor(F.col("_rank") * F.col("_rate") + F.col("_offset"))
     out = ranked.join(plan, ["_none", "_source"]).withColumns({"_rate": rate, "_offset": offset}).withColumn("copies", copies.cast("long"))
     source = F.when(~F.col("_none"), F.col("_source")).alias("source")
-    return out.select(F.col("_id").alias(id_col), source, F.col("_size").alias("size"), "source_size", "target", "copies", *["carried"] * bool(carry))
+    return out.select(F.col("_id").alias(id_col), source, F.col("_size").alias("size"), "source_size", "target", "copies", *["file", "row"] * place)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row repeated as often as ``plan_mix`` says: 0, 1 or 2 times at a ceiling of 2."""
-    planned = plan_mix(docs, carry=tuple(docs.columns), **options)
-    return planned.filter("copies > 0").select("carried", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select("carried.*")
+    """docs with each row repeated as often as ``plan_mix`` says: 0, 1 or 2 times at a ceiling of 2. Texts
+    aren't shuffled; docs is scanned again and looks its copies up."""
+    docs = common.as_scan(docs)
+    planned = plan_mix(docs, place=True, **options).filter("copies > 0").select("file", "row", "copies")
+    counted = common.attach(docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))), planned, {"copies": T.LongType()}, "copies").filter("copies is not null")
+    repeated = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies", "copy")
+    return repeated.toDF(*docs.columns)

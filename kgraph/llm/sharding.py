@@ -14,6 +14,7 @@ import heapq
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kgraph.llm import common
 
@@ -56,30 +57,29 @@ def schedule(sizes: np.ndarray, counts: np.ndarray, n_shards: int) -> tuple[np.n
     return out, loads
 
 
-def assign_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def assign_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", place: bool = False) -> DataFrame:
     """Put every row of docs into a shard of near equal bytes.
 
     Returns id_col, size (UTF-8 bytes of the text plus 1; null text: 1), text_crc32, shard (0 to
-    n_shards - 1), slot (gapless from 0 in each shard), then the columns named by ``carry``.
+    n_shards - 1) and slot (gapless from 0 in each shard); with ``place`` also file and row, each row's
+    place in the scan of docs.
 
     Equal texts share a shard; null texts are one such group, apart from the empty text. Repeated rows
     keep one output row each. Null ids are kept and come first in order. An empty table gives no rows.
-    Columns of other names are left out unless carried. A group larger than the mean load makes its
+    Columns of other names are left out. A group larger than the mean load makes its
     shard that much larger, since groups are never split.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be at least 1")
     spark = docs.sparkSession
     text = F.col(text_col)
-    base = docs.select(
+    columns = [
         F.col(id_col).alias("_id"),
         (common.byte_length(text) + 1).alias("_size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).cast("long").alias("_crc"),
         common.text_key(text).alias("_key"),
-        *(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("_carried") for _ in range(bool(carry))),
-    )
-    if not carry:
-        base = common.save(base, "shard-rows")
+    ]
+    base = common.save(common.scan_rows(docs, columns) if place else docs.select(*columns), "shard-rows")
     groups = common.save(base.groupBy("_key").agg((F.count("*") * F.first("_size")).cast("long").alias("_bytes"), F.count("*").alias("_rows")), "shard-groups")
     hist = groups.groupBy("_bytes").agg(F.count("*").alias("groups"), F.sum("_rows").alias("rows")).toPandas()
     total = int(hist["groups"].sum())
@@ -91,10 +91,14 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", te
         plan = F.broadcast(plan)
     placed = ranked.join(plan, F.col("_bytes") == F.col("_plan_bytes"))
     shard_of = common.save(placed.select("_key", F.size(F.filter("_ends", lambda e: e <= F.col("_rank"))).alias("shard")), "shard-of-group")
-    rows = base.join(shard_of, "_key")
-    if not carry:
-        rows = common.save(rows, "shard-placed")
+    rows = common.save(base.join(shard_of, "_key"), "shard-placed")
     n_rows = int(hist["rows"].sum())
     out = common.dense_rank_in(rows, ["shard"], common.hash_cell(common.bucket_count(n_rows), "_id", "_key"), [F.col("_id"), F.col("_key")], "slot")
-    carried = [F.col(f"_carried.`{c}`") for c in carry if c != id_col]
-    return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit(LAW).alias("law"), "shard", "slot", *carried)
+    return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit(LAW).alias("law"), "shard", "slot", *["file", "row"] * place)
+
+
+def shard_rows(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with its columns and those of shard and slot; see ``assign_shards``. Texts aren't shuffled."""
+    docs = common.as_scan(docs)
+    placed = assign_shards(docs, n_shards, id_col, text_col, place=True)
+    return common.attach(docs, placed, {"shard": T.IntegerType(), "slot": T.LongType()}, "shards")
