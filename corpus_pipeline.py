@@ -39,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their shard and slot; equal texts share a shard."""
-    return sharding.assign_shards(docs, SHARDS, carry=tuple(docs.columns))
+    return sharding.shard_rows(docs, SHARDS)
 
 
 STAGES = [("quality_rules", quality), ("simhash_near_dedup", dedup), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]
