@@ -25,7 +25,7 @@ from kgraph.llm import common
 from kgraph.llm.warc import url_key
 
 CHUNK_ROWS = 256
-SAME_PAGE = 0.9
+SAME_PAGE = 0.95
 REACH = 3
 PART_ROWS = 25_000
 

@@ -30,7 +30,7 @@ CHUNK_ROWS = 256
 WINDOWS_PER_RANGE = 2_500_000
 BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 LAST = (1 << 63) - 1
-VOCABULARY = 500_000
+VOCABULARY = 200_000
 
 
 class WordHashes(dict):

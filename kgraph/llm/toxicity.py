@@ -142,6 +142,8 @@ def learn(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, id
     share = int((1 << 30) * min(1.0, most_labels / max(1, sum(n.values()))))
     some = labelled.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) <= share)
     rows = some.mapInArrow(extract, "id long, label int, n long, hits long, features array<int>").orderBy("id", "n", "hits").collect()
+    if not rows:
+        return Ordinal({}, np.zeros(0), np.array([8.0, 9.0, 10.0]))
     density = np.array([r["hits"] / max(1, r["n"]) for r in rows])
     label = np.array([r["label"] for r in rows], np.int64)
     grades = label.copy()
