@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as spark_entry
@@ -23,4 +24,9 @@ def test_agrees(spark, name):
     for t in "region nation customer supplier part orders lineitem pages documents".split():
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = c.execute(spark_entry.oracle_sql()[name]).df()[list(got.columns)]
-    assert sorted(map(str, got.itertuples(index=False, name=None))) == sorted(map(str, want.astype(got.dtypes.to_dict(), errors="ignore").itertuples(index=False, name=None)))
+    want = want.astype(got.dtypes.to_dict(), errors="ignore")
+
+    def rows(df):
+        return sorted(str([None if pd.isna(x) else x for x in r]) for r in df.itertuples(index=False, name=None))
+
+    assert rows(got) == rows(want)
