@@ -19,6 +19,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kgraph.llm import common
 from kgraph.llm.components import components
@@ -28,7 +29,7 @@ SEED = 42
 RADIUS = 4
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
-KEYS_PER_RANGE = 2_000_000
+KEYS_PER_RANGE = 750_000
 SMALL_GROUP = 48
 
 
@@ -231,6 +232,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id"
 LANES = 10
 LEAST = 0.8
 CHECK_BITS = 18
+FOREST_BITS = 14
+FEW = 8
+LANE_KEYS_PER_RANGE = 2_000_000
 MARGIN = 1.5
 MIX = 0x9E3779B97F4A7C15
 
@@ -264,47 +268,65 @@ def lanes_of(text: str | None, size: int, lanes: int = LANES) -> bytes:
     return np.packbits(counts * 2 > len(mixed), bitorder="little").tobytes()
 
 
-def lane_keys(lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, place, check) of fingerprints, one row each: for each lane all pairs of the Golay keys of its
-    two segments of 23 bits, and the next lane to check a meeting by."""
-    keys, places, checks = [], [], []
+def lane_keys(lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, place) of fingerprints, one row each: for each lane all pairs of the Golay keys of its two
+    segments of 23 bits. The lane's number stands above 24 bits of mixed keys."""
+    keys, places = [], []
     low = np.uint64((1 << 23) - 1)
     for k in range(lanes.shape[1]):
         a = segment_keys((lanes[:, k] & low).astype(np.int64))[:, :, None]
         b = segment_keys((lanes[:, k] >> np.uint64(23) & low).astype(np.int64))[:, None, :]
-        key = np.where((a < 0) | (b < 0), -1, (k << 24) | (a << 12) | b).reshape(len(lanes), -1)
+        key = np.where((a < 0) | (b < 0), -1, (a << 12) | b).reshape(len(lanes), -1)
         at, column = np.nonzero(key >= 0)
-        keys.append(key[at, column])
+        keys.append((key[at, column] * 0x9E3779 & 0xFFFFFF | k << 24).astype(np.uint32))
         places.append(at)
-        checks.append(np.full(len(at), (k + 1) % lanes.shape[1]))
-    return np.concatenate(keys), np.concatenate(places), np.concatenate(checks)
+    return np.concatenate(keys), np.concatenate(places)
 
 
-def meetings(key: np.ndarray, own: np.ndarray, check: np.ndarray, radius: int = CHECK_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids that share a key and agree in the checked lane: all in small groups, in larger ones
-    enough to connect what is connected there."""
+def meetings(key: np.ndarray, own: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids that share a key and agree in the checked lane, thinned to the best that connect them:
+    candidates are all pairs in groups of a few and a spanning forest in larger ones, and of these the
+    closest that join two parts are kept. What a range gives thus grows with its fingerprints, not with
+    the square of a dense group. Every lane picks anew, so that a link lost in one turns up in others."""
     order = np.lexsort((own, key))
     key, own, check = key[order], own[order], check[order]
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     sizes = np.diff(np.append(starts, len(key)))
-    small = np.repeat(sizes <= SMALL_GROUP, sizes)
-    k, o, c = key[small], own[small], check[small]
-    left, right = [np.zeros(0, own.dtype)], [np.zeros(0, own.dtype)]
-    for d in range(1, int(sizes[sizes <= SMALL_GROUP].max(initial=1))):
-        near = np.flatnonzero((k[d:] == k[:-d]) & (np.bitwise_count(c[d:] ^ c[:-d]) <= radius))
-        left.append(o[near])
-        right.append(o[near + d])
-    for start, size in zip(starts[sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP]):
-        a, b = reach(check[start : start + size], radius)
-        left.append(own[start : start + size][a])
-        right.append(own[start : start + size][b])
-    pairs = np.unique(np.stack((np.concatenate(left), np.concatenate(right)), 1), axis=0)
+    small = np.flatnonzero(np.repeat(sizes <= FEW, sizes))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, FEW):
+        a, b = small[:-d], small[d:]
+        near = (key[a] == key[b]) & (np.bitwise_count(check[a] ^ check[b]) <= CHECK_BITS)
+        left.append(a[near])
+        right.append(b[near])
+    for start, size in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
+        a, b = reach(check[start : start + size], FOREST_BITS)
+        left.append(start + a)
+        right.append(start + b)
+    a, b = np.concatenate(left), np.concatenate(right)
+    closest = np.lexsort((own[b], own[a], np.bitwise_count(check[a] ^ check[b])))
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    kept = []
+    for u, v in zip(own[a[closest]].tolist(), own[b[closest]].tolist()):
+        p, q = find(u), find(v)
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            kept.append((u, v))
+    pairs = np.array(kept, np.int64).reshape(-1, 2)
     return pairs[:, 0], pairs[:, 1]
 
 
 def similar_links(prints: DataFrame, count: int, lanes: int, most_bits: int) -> DataFrame:
     """(a, b) for fingerprints (fp, lanes) that share a key and differ in ``most_bits`` bits at most."""
-    ranges = max(2, -(-count * 28 * lanes // KEYS_PER_RANGE))
+    parts = max(1, -(-count * 28 // LANE_KEYS_PER_RANGE))
+    cuts = [(k << 24) + (i << 24) // parts for k in range(lanes) for i in range(parts)][1:]
 
     def spread_keys(batches):
         for batch in batches:
@@ -312,16 +334,16 @@ def similar_links(prints: DataFrame, count: int, lanes: int, most_bits: int) ->
             rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, lanes)
             for at in range(0, len(ids), 4096):
                 own, part = ids[at : at + 4096], rows[at : at + 4096]
-                key, place, check = lane_keys(part)
-                key = spread(key)
+                key, place = lane_keys(part)
                 order = np.argsort(key, kind="stable")
-                key, place, check = key[order], place[order].astype(np.uint16), check[order].astype(np.uint8)
-                edges = np.searchsorted(key, [(i << 32) // ranges for i in range(1, ranges)])
+                key, place = key[order], place[order].astype(np.uint16)
+                edges = np.searchsorted(key, cuts)
                 out = []
                 for k, (a, b) in enumerate(zip([0, *edges], [*edges, len(key)])):
                     if b > a:
-                        used, local = np.unique(place[a:b].astype(np.uint32) << 8 | check[a:b], return_inverse=True)
-                        data = np.array([b - a, len(used)], np.int64).tobytes() + own[used >> 8].tobytes() + part[used >> 8, used & 255].tobytes() + key[a:b].tobytes() + local.astype(np.uint32).tobytes()
+                        used, local = np.unique(place[a:b], return_inverse=True)
+                        check = part[used, (k // parts + 1) % lanes]
+                        data = np.array([b - a, len(used)], np.int64).tobytes() + own[used].tobytes() + check.tobytes() + key[a:b].tobytes() + local.astype(np.uint16).tobytes()
                         out.append((k, zstandard.ZstdCompressor(1).compress(data)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.binary()))], names=["range", "blob"])
@@ -331,7 +353,7 @@ def similar_links(prints: DataFrame, count: int, lanes: int, most_bits: int) ->
         for blob in table["blob"].to_pylist():
             data = zstandard.ZstdDecompressor().decompress(blob)
             n, m = np.frombuffer(data, np.int64, 2)
-            local = np.frombuffer(data, np.uint32, n, 16 + 16 * m + 4 * n)
+            local = np.frombuffer(data, np.uint16, n, 16 + 16 * m + 4 * n)
             own.append(np.frombuffer(data, np.int64, m, 16)[local])
             checks.append(np.frombuffer(data, np.uint64, m, 16 + 8 * m)[local])
             keys.append(np.frombuffer(data, np.uint32, n, 16 + 16 * m))
@@ -383,11 +405,11 @@ def drop_near_duplicates(docs: DataFrame, size: int, least: float = LEAST, id_co
     """docs with one row of each class of similar texts (see ``similar_classes``): that of the smallest
     id, the first in the scan where ids repeat or are null. All columns are kept. Null and empty texts are
     one class; equal texts share a class. docs must be a scan of Parquet files, else it is written first;
-    its texts are shuffled once, when the rows that stay are picked."""
+    its texts aren't shuffled."""
     docs = common.as_scan(docs)
     classes = similar_classes(docs, size, least, text_col=text_col)
     ids = common.scan_rows(docs, [F.col(f"`{id_col}`").alias("id")])
     best = classes.join(ids, ["file", "row"]).groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "file", "row")).alias("best"))
-    stays = common.save(best.select(F.col("best.file").alias("_file"), F.col("best.row").alias("_row")), "stays")
-    placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    return placed.join(stays, ["_file", "_row"], "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    stays = best.select("best.file", "best.row", F.lit(True).alias("stays"))
+    marked = common.attach(docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))), stays, {"stays": T.BooleanType()}, "stays")
+    return marked.filter("stays").drop("stays").toDF(*docs.columns)
