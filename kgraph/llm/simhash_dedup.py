@@ -231,10 +231,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id"
 
 LANES = 10
 LEAST = 0.8
-CHECK_BITS = 18
-FOREST_BITS = 14
-FEW = 8
-LANE_KEYS_PER_RANGE = 2_000_000
+PRINTS_PER_RANGE = 375_000
+LEAST_RANGES = 32
 MARGIN = 1.5
 MIX = 0x9E3779B97F4A7C15
 
@@ -268,44 +266,62 @@ def lanes_of(text: str | None, size: int, lanes: int = LANES) -> bytes:
     return np.packbits(counts * 2 > len(mixed), bitorder="little").tobytes()
 
 
-def lane_keys(lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, place) of fingerprints, one row each: for each lane all pairs of the Golay keys of its two
-    segments of 23 bits. The lane's number stands above 24 bits of mixed keys."""
-    keys, places = [], []
+def key_range(codeword: np.ndarray, parts: int) -> np.ndarray:
+    """The range, of ``parts`` in a lane, that a 12-bit key of the first segment belongs to; -1 stays."""
+    return np.where(codeword < 0, -1, (codeword * 0x9E3 & 0xFFF) * parts >> 12)
+
+
+def lane_keys(words: np.ndarray, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, place) of the words of one lane: all pairs of the Golay keys of its two segments of 23 bits
+    whose first key falls in range ``part``."""
     low = np.uint64((1 << 23) - 1)
-    for k in range(lanes.shape[1]):
-        a = segment_keys((lanes[:, k] & low).astype(np.int64))[:, :, None]
-        b = segment_keys((lanes[:, k] >> np.uint64(23) & low).astype(np.int64))[:, None, :]
-        key = np.where((a < 0) | (b < 0), -1, (a << 12) | b).reshape(len(lanes), -1)
-        at, column = np.nonzero(key >= 0)
-        keys.append((key[at, column] * 0x9E3779 & 0xFFFFFF | k << 24).astype(np.uint32))
-        places.append(at)
-    return np.concatenate(keys), np.concatenate(places)
+    a = segment_keys((words & low).astype(np.int64))
+    a = np.where(key_range(a, parts) == part, a, -1)[:, :, None]
+    b = segment_keys((words >> np.uint64(23) & low).astype(np.int64))[:, None, :]
+    key = np.where((a < 0) | (b < 0), -1, (a << 12) | b).reshape(len(words), -1)
+    at, column = np.nonzero(key >= 0)
+    return key[at, column], at
+
+
+def within(x: np.ndarray, y: np.ndarray, most_bits: int) -> np.ndarray:
+    """Places of the pairs of rows that differ in ``most_bits`` bits at most over all lanes. Pairs whose
+    first half alone differs in more aren't compared further."""
+    half = x.shape[1] // 2
+    bits = np.bitwise_count(x[:, :half] ^ y[:, :half]).sum(axis=1, dtype=np.int64)
+    at = np.flatnonzero(bits <= most_bits)
+    return at[bits[at] + np.bitwise_count(x[at, half:] ^ y[at, half:]).sum(axis=1, dtype=np.int64) <= most_bits]
+
+
+def reach_lanes(rows: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among fingerprints of several lanes, as places."""
+    left, right, todo = [], [], np.arange(len(rows))
+    while len(todo):
+        front, todo = todo[:1], todo[1:]
+        while len(front) and len(todo):
+            step = max(1, (1 << 18) // len(todo))
+            now, front = front[:step], front[step:]
+            i, j = (x.ravel() for x in np.indices((len(now), len(todo))))
+            near = within(rows[now[i]], rows[todo[j]], most_bits)
+            hit, first = np.unique(j[near], return_index=True)
+            left.append(now[i[near][first]])
+            right.append(todo[hit])
+            front = np.concatenate((front, todo[hit]))
+            todo = np.delete(todo, hit)
+    return (np.concatenate(left), np.concatenate(right)) if left else (todo, todo)
 
 
-def meetings(key: np.ndarray, own: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids that share a key and agree in the checked lane, thinned to the best that connect them:
-    candidates are all pairs in groups of a few and a spanning forest in larger ones, and of these the
-    closest that join two parts are kept. What a range gives thus grows with its fingerprints, not with
-    the square of a dense group. Every lane picks anew, so that a link lost in one turns up in others."""
-    order = np.lexsort((own, key))
-    key, own, check = key[order], own[order], check[order]
-    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+def verified_forest(key: np.ndarray, place: np.ndarray, rows: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that connect whatever is linked: fingerprints that share a key and differ in
+    ``most_bits`` bits of all lanes at most. Pairs are verified first, with one radius in groups of every
+    size, and only links are thinned, to a forest, which joins exactly what all links join."""
+    order = np.lexsort((place, key))
+    key, place = key[order], place[order]
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, len(key)))
-    small = np.flatnonzero(np.repeat(sizes <= FEW, sizes))
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for d in range(1, FEW):
-        a, b = small[:-d], small[d:]
-        near = (key[a] == key[b]) & (np.bitwise_count(check[a] ^ check[b]) <= CHECK_BITS)
-        left.append(a[near])
-        right.append(b[near])
-    for start, size in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
-        a, b = reach(check[start : start + size], FOREST_BITS)
-        left.append(start + a)
-        right.append(start + b)
-    a, b = np.concatenate(left), np.concatenate(right)
-    closest = np.lexsort((own[b], own[a], np.bitwise_count(check[a] ^ check[b])))
+    rest = np.repeat(sizes, sizes) - (np.arange(len(key)) - np.repeat(starts, sizes))
+    rest[np.repeat(sizes > SMALL_GROUP, sizes)] = 0
     root: dict[int, int] = {}
+    kept: list[tuple[int, int]] = []
 
     def find(x: int) -> int:
         while (up := root.get(x, x)) != x:
@@ -313,64 +329,68 @@ def meetings(key: np.ndarray, own: np.ndarray, check: np.ndarray) -> tuple[np.nd
             x = up
         return x
 
-    kept = []
-    for u, v in zip(own[a[closest]].tolist(), own[b[closest]].tolist()):
-        p, q = find(u), find(v)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            kept.append((u, v))
+    def link(a: np.ndarray, b: np.ndarray) -> None:
+        for u, v in zip(a.tolist(), b.tolist()):
+            p, q = find(u), find(v)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                kept.append((u, v))
+
+    for d in range(1, SMALL_GROUP):
+        open_ = np.flatnonzero(rest > d)
+        for at in range(0, len(open_), 1 << 18):
+            x, y = place[open_[at : at + (1 << 18)]], place[open_[at : at + (1 << 18)] + d]
+            near = within(rows[x], rows[y], most_bits)
+            link(x[near], y[near])
+    for start, size in zip(starts[sizes > SMALL_GROUP].tolist(), sizes[sizes > SMALL_GROUP].tolist()):
+        own = place[start : start + size]
+        if len({find(x) for x in own.tolist()}) > 1:
+            a, b = reach_lanes(rows[own], most_bits)
+            link(own[a], own[b])
     pairs = np.array(kept, np.int64).reshape(-1, 2)
     return pairs[:, 0], pairs[:, 1]
 
 
 def similar_links(prints: DataFrame, count: int, lanes: int, most_bits: int) -> DataFrame:
-    """(a, b) for fingerprints (fp, lanes) that share a key and differ in ``most_bits`` bits at most."""
-    parts = max(1, -(-count * 28 // LANE_KEYS_PER_RANGE))
-    cuts = [(k << 24) + (i << 24) // parts for k in range(lanes) for i in range(parts)][1:]
+    """(a, b) for fingerprints (fp, lanes) that share a key and differ in ``most_bits`` bits at most: a
+    forest of these links for each range of keys. A whole fingerprint goes to the ranges of its first
+    segment's keys, six in a lane at most (5.3 on average), and its keys are made again there. Small inputs
+    are cut to ranges as well, so that copies of a fingerprint don't grow with the input."""
+    parts = min(4096, max(LEAST_RANGES, -(-count * 16 // (3 * PRINTS_PER_RANGE))))
+    low = np.uint64((1 << 23) - 1)
 
-    def spread_keys(batches):
+    def spread_prints(batches):
+        packer = zstandard.ZstdCompressor(1)
         for batch in batches:
             ids = batch.column(0).to_numpy()
             rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, lanes)
             for at in range(0, len(ids), 4096):
                 own, part = ids[at : at + 4096], rows[at : at + 4096]
-                key, place = lane_keys(part)
-                order = np.argsort(key, kind="stable")
-                key, place = key[order], place[order].astype(np.uint16)
-                edges = np.searchsorted(key, cuts)
                 out = []
-                for k, (a, b) in enumerate(zip([0, *edges], [*edges, len(key)])):
-                    if b > a:
-                        used, local = np.unique(place[a:b], return_inverse=True)
-                        check = part[used, (k // parts + 1) % lanes]
-                        data = np.array([b - a, len(used)], np.int64).tobytes() + own[used].tobytes() + check.tobytes() + key[a:b].tobytes() + local.astype(np.uint16).tobytes()
-                        out.append((k, zstandard.ZstdCompressor(1).compress(data)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.binary()))], names=["range", "blob"])
+                for k in range(lanes):
+                    r = key_range(segment_keys((part[:, k] & low).astype(np.int64)), parts)
+                    place, column = np.nonzero(r >= 0)
+                    r, place = np.divmod(np.unique(r[place, column] * len(own) + place), len(own))
+                    edges = np.flatnonzero(np.diff(r)) + 1
+                    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(r)]):
+                        used = place[a:b]
+                        out.append((k * parts + int(r[a]), packer.compress(own[used].tobytes() + part[used].tobytes())))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.binary()))], names=["range", "blob"])
 
     def join(table: pa.Table) -> pa.Table:
-        keys, own, checks = [], [], []
+        own, rows = [], []
         for blob in table["blob"].to_pylist():
             data = zstandard.ZstdDecompressor().decompress(blob)
-            n, m = np.frombuffer(data, np.int64, 2)
-            local = np.frombuffer(data, np.uint16, n, 16 + 16 * m + 4 * n)
-            own.append(np.frombuffer(data, np.int64, m, 16)[local])
-            checks.append(np.frombuffer(data, np.uint64, m, 16 + 8 * m)[local])
-            keys.append(np.frombuffer(data, np.uint32, n, 16 + 16 * m))
-        a, b = meetings(np.concatenate(keys), np.concatenate(own), np.concatenate(checks))
-        return pa.table({"a": a, "b": b})
-
-    met = prints.select("fp", "lanes").mapInArrow(spread_keys, "range int, blob binary").groupBy("range").applyInArrow(join, "a long, b long")
-    met = common.save(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "meetings")
-    both = met.join(prints.select(F.col("fp").alias("a"), F.col("lanes").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("lanes").alias("y")), "b")
-
-    def verify(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, lanes) for k in (2, 3))
-            near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most_bits
-            yield batch.filter(pa.array(near)).select([0, 1])
-
-    return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+            n = len(data) // (8 + 8 * lanes)
+            own.append(np.frombuffer(data, np.int64, n))
+            rows.append(np.frombuffer(data, np.uint64, n * lanes, 8 * n).reshape(-1, lanes))
+        own, rows = np.concatenate(own), np.concatenate(rows)
+        k, part = divmod(table["range"][0].as_py(), parts)
+        a, b = verified_forest(*lane_keys(rows[:, k], part, parts), rows, most_bits)
+        return pa.table({"a": own[a], "b": own[b]})
+
+    met = prints.select("fp", "lanes").mapInArrow(spread_prints, "range int, blob binary").groupBy("range").applyInArrow(join, "a long, b long")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar_classes(docs: DataFrame, size: int, least: float = LEAST, lanes: int = LANES, text_col: str = "text") -> DataFrame:

@@ -270,3 +270,52 @@ def test_shared_lines():
         assert len(got) == table[-1][-1] and got == sorted(got)
         it = iter(b)
         assert all(any(a[i] == y for y in it) for i in got)
+
+
+def test_links_are_verified_before_thinning(spark):
+    """A twin survives decoys that are closer in single lanes, and large groups whose members aren't similar."""
+    rng = np.random.default_rng(5)
+    most, lanes = 110, simhash_dedup.LANES
+
+    def flipped(row, lane, bits):
+        row[lane] ^= np.uint64(sum(1 << int(b) for b in bits))
+
+    x = rng.integers(0, 1 << 64, lanes, np.uint64)
+    y = x.copy()
+    flipped(y, 1, [0, 50])
+    for k in range(2, lanes):
+        flipped(y, k, range(12))  # too far in the first segment to share a key there
+    decoy = rng.integers(0, 1 << 64, lanes, np.uint64)
+    decoy[:2] = x[:2]
+    far = x.copy()
+    flipped(far, 1, range(22))
+    for k in range(2, lanes):
+        flipped(far, k, range(12, 22))
+    few = [x, y, decoy]
+    family = [x, far]
+    for _ in range(80):
+        row = rng.integers(0, 1 << 64, lanes, np.uint64)
+        row[0] = x[0]
+        family.append(row)
+    for rows, a, b in ((few, 0, 1), (family, 0, 1)):
+        df = spark.createDataFrame([(i, r.tobytes()) for i, r in enumerate(rows)], "fp long, lanes binary")
+        assert int(np.bitwise_count(rows[a] ^ rows[b]).sum()) <= most
+        for count in (len(rows), 10_000_000):  # few ranges of keys in a lane, and more
+            assert [tuple(r) for r in simhash_dedup.similar_links(df, count, lanes, most).collect()] == [(a, b)]
+
+
+@pytest.mark.parametrize("n", [2, 40, 150])
+def test_verified_forest_connects_all(n):
+    rng = np.random.default_rng(n)
+    rows = np.repeat(rng.integers(0, 1 << 64, (1, 10), np.uint64), n, 0)
+    rows ^= np.packbits(rng.random((n, 10, 64)) < rng.uniform(0.02, 0.16, (n, 1, 1)), axis=2).view(np.uint64)[:, :, 0]
+    a, b = simhash_dedup.verified_forest(np.zeros(n, np.int64), np.arange(n), rows, 110)
+    linked = np.bitwise_count(rows[:, None] ^ rows).sum(axis=2) <= 110
+
+    def classes(pairs):
+        root = list(range(n))
+        for u, v in pairs:
+            root = [root[u] if r == root[v] else r for r in root]
+        return {frozenset(i for i in range(n) if root[i] == r) for r in root}
+
+    assert all(linked[a, b]) and classes(zip(a, b)) == classes(np.argwhere(linked))
