@@ -233,7 +233,8 @@ LANES = 10
 LEAST = 0.8
 PRINTS_PER_RANGE = 375_000
 LEAST_RANGES = 32
-MARGIN = 1.5
+MARGIN = 4.0
+BLOCK = 2048
 MIX = 0x9E3779B97F4A7C15
 
 
@@ -243,19 +244,27 @@ def differing_share(similarity: float) -> float:
     return float(np.arccos(cosine) / np.pi)
 
 
-def lanes_of(text: str | None, size: int, lanes: int = LANES) -> bytes:
-    """A SimHash of ``lanes`` times 64 bits: each lane mixes the shingle hashes anew. Letters A to Z count
-    as lower case. Texts of fewer words than a shingle are one shingle; no words give zeros."""
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """Hashes of the distinct word shingles, sorted. Letters A to Z count as lower case. Texts of fewer
+    words than a shingle are one shingle; no words have none."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return bytes(8 * lanes)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(lengths)
     n = max(1, len(words) - size + 1)
     last = (ends[min(size, len(words)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.unique(np.fromiter([digest(joined[a:b], SEED) for a, b in zip((ends - lengths)[:n].tolist(), last)], np.uint64, n))
+    return np.unique(np.fromiter([digest(joined[a:b], SEED) for a, b in zip((ends - lengths)[:n].tolist(), last)], np.uint64, n))
+
+
+def lanes_of(text: str | None, size: int, lanes: int = LANES) -> bytes:
+    """A SimHash of ``lanes`` times 64 bits over ``shingle_hashes``: each lane mixes them anew. No words
+    give zeros."""
+    hashes = shingle_hashes(text, size)
+    if not len(hashes):
+        return bytes(8 * lanes)
     mixed = hashes[:, None] ^ (np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(MIX))
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
@@ -393,17 +402,84 @@ def similar_links(prints: DataFrame, count: int, lanes: int, most_bits: int) ->
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def exact_forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Pairs of places that connect all sets (none empty) with a Jaccard similarity of ``least`` or more
+    to another: a search takes what is similar from the shrinking rest."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    starts = np.cumsum(sizes) - sizes
+    known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, todo, out = np.zeros(len(known), bool), np.ones(len(sets), bool), []
+    for seed in range(len(sets)):
+        front = [seed] if todo[seed] else []
+        todo[seed] = False
+        while front and todo.any():
+            x = front.pop()
+            own = flat[starts[x] : starts[x] + sizes[x]]
+            mark[own] = True
+            shared = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+            mark[own] = False
+            hit = np.flatnonzero(todo & (shared / (sizes[x] + sizes - shared) >= least))
+            todo[hit] = False
+            front += hit.tolist()
+            out += [(x, y) for y in hit.tolist()]
+    return out
+
+
+def exact_links(docs: DataFrame, members: DataFrame, size: int, least: float, text_col: str) -> DataFrame:
+    """(a, b) of the members (file, row, root, fp, n: how many have that root) that connect all members of
+    a root whose shingle sets have a Jaccard similarity of ``least`` or more. Texts are scanned again, and
+    only the members' sets of hashes go to tasks: many roots to one task, and where a root has more than
+    BLOCK members, each pair of its blocks to one."""
+    most = BLOCK
+    buckets = max(8, -(-members.count() // (2 * most)))
+    keyed = members.select("file", "row", "root", "fp", "n").withColumn("chunk", F.floor(F.col("row") / common.SIDE_CHUNK).cast("long"))
+    side = common.SideFiles(keyed, "file", ["chunk", "row"], "lane-members")
+
+    def read_sets(batches):
+        reader = side.reader()
+        for batch in batches:
+            out, at, found = [], None, {}
+            for file, row, text in zip(*(batch.column(c).to_pylist() for c in ("file", "row", "text"))):
+                if at != (file, row // common.SIDE_CHUNK):
+                    at = (file, row // common.SIDE_CHUNK)
+                    found = {r: x for r, *x in reader.rows(file, row // common.SIDE_CHUNK, ["row", "root", "fp", "n"])}
+                if row in found:
+                    root, fp, n = found[row]
+                    data = shingle_hashes(text, size).tobytes()
+                    blocks = -(-n // most)
+                    if blocks == 1:
+                        out.append((root % buckets, -1, -1, root, fp, data))
+                    else:
+                        own = xxhash.xxh64_intdigest(fp.to_bytes(8, "little", signed=True)) % blocks
+                        out += [(root, min(own, k), max(own, k), root, fp, data) for k in range(blocks) if k != own]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["task", "i", "j", "root", "fp", "shingles"])
+
+    def join(table: pa.Table) -> pa.Table:
+        roots: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for root, fp, data in zip(*(table[c].to_pylist() for c in ("root", "fp", "shingles"))):
+            if data:
+                roots.setdefault(root, []).append((fp, np.frombuffer(data, np.uint64)))
+        pairs = [(own[x][0], own[y][0]) for own in roots.values() for x, y in exact_forest([h for _, h in own], least)]
+        a, b = zip(*pairs) if pairs else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    sets = common.scan_rows(docs, [F.col(f"`{text_col}`").cast("string").alias("text")]).mapInArrow(read_sets, "task long, i int, j int, root long, fp long, shingles binary")
+    return sets.groupBy("task", "i", "j").applyInArrow(join, "a long, b long")
+
+
 def similar_classes(docs: DataFrame, size: int, least: float = LEAST, lanes: int = LANES, text_col: str = "text") -> DataFrame:
     """(file, row, class) for every row of a scan: classes connect texts whose word shingles have a Jaccard
     similarity of ``least`` or more.
 
-    The similarity is judged by a SimHash of 64 bits for each lane: pairs that differ in no more bits than
-    ``least`` gives on average, plus 1.5 standard deviations, are linked. At 10 lanes that is 110 of 640
-    bits for 0.8; the estimate has a spread of 9 bits, so some pairs down to 0.65 link too. Candidates
-    are pairs that share a Golay key pair in some lane; at similarity 0.8 that misses one link in 80, at
-    0.85 one in 800.
+    Candidates come from SimHashes of 64 bits for each lane: pairs that share a Golay key pair in some
+    lane and differ in no more bits than ``least`` gives on average, plus 4 standard deviations (133 of
+    640 bits for 0.8). One text of each fingerprint stands for it, and within the components of the
+    candidates the sets of shingles are compared exactly. At similarity 0.8 keys miss one link in 80, at
+    0.85 one in 800; by the binomial the radius misses one in 18,000 at 0.8.
     """
     common.small_batches(docs.sparkSession)
+    docs = common.as_scan(docs)
     rows = common.scan_rows(docs, [F.col(f"`{text_col}`").cast("string").alias("text")])
 
     def run(batches):
@@ -412,11 +488,15 @@ def similar_classes(docs: DataFrame, size: int, least: float = LEAST, lanes: int
             yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("row"), prints], names=["file", "row", "lanes"])
 
     prints = common.save(rows.mapInArrow(run, "file string, row long, lanes binary").withColumn("fp", F.xxhash64("lanes")), "lanes")
-    distinct = common.save(prints.groupBy("fp").agg(F.first("lanes").alias("lanes")), "lanes-distinct")
+    distinct = common.save(prints.groupBy("fp").agg(F.first("lanes").alias("lanes"), F.min(F.struct("file", "row")).alias("at")), "lanes-distinct")
     share = differing_share(least)
     bits = 64 * lanes
     most_bits = int(bits * share + MARGIN * (bits * share * (1 - share)) ** 0.5)
-    found = common.save(similar_links(distinct, distinct.count(), lanes, most_bits), "lane-links")
+    near = common.save(similar_links(distinct, distinct.count(), lanes, most_bits), "lane-links")
+    joined = components(near)
+    members = distinct.join(joined, F.col("fp") == F.col("node")).join(joined.groupBy("root").agg(F.count("*").alias("n")), "root")
+    members = common.save(members.select("at.file", "at.row", "root", "fp", "n"), "lane-members")
+    found = common.save(exact_links(docs, members, size, least, text_col), "exact-links")
     roots = components(found)
     return prints.join(roots, F.col("fp") == F.col("node"), "left").select("file", "row", F.coalesce("root", "fp").alias("class"))
 

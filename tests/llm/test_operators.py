@@ -319,3 +319,40 @@ def test_verified_forest_connects_all(n):
         return {frozenset(i for i in range(n) if root[i] == r) for r in root}
 
     assert all(linked[a, b]) and classes(zip(a, b)) == classes(np.argwhere(linked))
+
+
+def test_near_duplicates_are_judged_exactly(spark, tmp_path, monkeypatch):
+    """Pairs at Jaccard 0.82 are linked and pairs at 0.74 aren't, in one block and in many."""
+    rng, table, want = random.Random(11), [], set()
+
+    def changed(text, places):
+        own = text.split()
+        for k in places:
+            own[k] = f"new{rng.randint(0, 10**9)}"
+        return " ".join(own)
+
+    for i in range(0, 240, 4):
+        base = " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(104))
+        table += [(i, base), (i + 1, changed(base, (20, 60))), (i + 2, changed(base, (10, 40, 80)))]
+        want |= {i, i + 2}
+    spark.createDataFrame(table, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    for block in (simhash_dedup.BLOCK, 1):
+        monkeypatch.setattr(simhash_dedup, "BLOCK", block)
+        assert {r["doc_id"] for r in simhash_dedup.drop_near_duplicates(docs, 5).collect()} == want
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8])
+def test_exact_forest_connects_all(least):
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.choice(14, rng.integers(1, 14), replace=False).astype(np.uint64)) for _ in range(60)]
+    links = {(i, j) for i in range(60) for j in range(60) if len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= least}
+
+    def classes(pairs):
+        root = list(range(60))
+        for u, v in pairs:
+            root = [root[u] if r == root[v] else r for r in root]
+        return {frozenset(i for i in range(60) if root[i] == r) for r in root}
+
+    got = simhash_dedup.exact_forest(sets, least)
+    assert set(got) <= links and classes(got) == classes(links)
