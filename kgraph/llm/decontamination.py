@@ -69,22 +69,23 @@ def similarity(a: Counter, b: Counter) -> float:
 
 
 class Matcher:
-    """Finds items in documents. An item of fewer words than a shingle is one shingle; one of no words
+    """Finds items in documents. Items are told apart by their place in the list; ids, null or repeated
+    ones too, are only carried. An item of fewer words than a shingle is one shingle; one of no words
     matches nothing."""
 
-    def __init__(self, items: list[tuple[int, str | None]], size: int = SHINGLE, least: float = SIMILARITY) -> None:
+    def __init__(self, items: list[tuple[int | None, str | None]], size: int = SHINGLE, least: float = SIMILARITY) -> None:
         self.size, self.least, self.hash_of = size, least, PlainHashes()
-        self.items, self.by_shingle = {}, {}
-        for item_id, text in items:
+        self.ids, self.items, self.by_shingle = [item_id for item_id, _ in items], {}, {}
+        for place, (_, text) in enumerate(items):
             values = word_values(text, self.hash_of)
             if not len(values):
                 continue
             width = min(size, len(values))
             hashes = window_hashes(values, width)[0]
             fp = prints_of(bits_of(hashes), np.zeros(1, np.int64), len(hashes))[0]
-            self.items[item_id] = (len(values), width, Counter(hashes.tolist()), fp)
+            self.items[place] = (len(values), width, Counter(hashes.tolist()), fp)
             for h in set(hashes.tolist()):
-                self.by_shingle.setdefault(width, defaultdict(list))[h].append(item_id)
+                self.by_shingle.setdefault(width, defaultdict(list))[h].append(place)
         self.filters = {}
         for width, found in self.by_shingle.items():
             bitmap = np.zeros(1 << FILTER_BITS, bool)
@@ -103,8 +104,8 @@ class Matcher:
             found |= table[(prints >> shift & np.uint64(255)).astype(np.int64)]
         return np.argwhere(found & (np.bitwise_count(prints[:, None] ^ own) <= RADIUS))
 
-    def leaks(self, text: str | None) -> list[tuple[int, int, int, int, float]]:
-        """(item, first word, words, differing bits, similarity) of the best window for each item found."""
+    def leaks(self, text: str | None) -> list[tuple[int | None, int, int, int, float]]:
+        """(item's id, first word, words, differing bits, similarity) of the best window for each item found."""
         values = word_values(text, self.hash_of)
         out = []
         for width, found in self.by_shingle.items():
@@ -132,13 +133,13 @@ class Matcher:
                     if s >= self.least and (item not in best or s > best[item][0]):
                         best[item] = (s, start, int(prints[w] ^ self.items[item][3]).bit_count())
                 out += [(item, start, span, bits, s) for item, (s, start, bits) in best.items()]
-        return sorted(out)
+        return [(self.ids[item], *found) for item, *found in sorted(out)]
 
 
 def _item_groups(benchmark: DataFrame, item_col: str, text_col: str, at_once: int):
     """Items in groups of a size that is safe to send to every task."""
-    rows = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    group: list[tuple[int, str | None]] = []
+    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
+    group: list[tuple[int | None, str | None]] = []
     for r in rows.toLocalIterator():
         group.append((r["i"], r["t"]))
         if len(group) == at_once:
@@ -153,8 +154,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, least
     differing bits of the fingerprints, and similarity, ``least`` or more.
 
     Whole texts are scanned without a shuffle. Items go to tasks in groups of ``at_once``; a larger
-    benchmark takes one scan for each group. Null and empty texts and items match nothing; of items that
-    repeat an id the last counts; a document shorter than an item is compared as a whole. Repeated rows
+    benchmark takes one scan for each group. Null and empty texts and items match nothing; every
+    other row of the benchmark is searched for, also where its id is null or repeated; a document shorter than an item is compared as a whole. Repeated rows
     are each reported. An empty table gives no rows; other columns are left out.
     """
     common.small_batches(docs.sparkSession)
@@ -162,7 +163,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, least
     schema = T.StructType([T.StructField(n, t) for n, t in (("id", kind), ("item_id", T.LongType()), ("start", T.LongType()), ("n_words", T.LongType()), ("bits", T.IntegerType()), ("similarity", T.DoubleType()))])
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
 
-    def searched(items: list[tuple[int, str | None]]) -> DataFrame:
+    def searched(items: list[tuple[int | None, str | None]]) -> DataFrame:
         def run(batches):
             matcher = Matcher(items, size, least)
             for batch in batches:

@@ -159,6 +159,18 @@ def test_decontamination(spark, docs, none):
     assert decontamination.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_searches_every_item(spark):
+    rng = random.Random(6)
+    items = [(1, words(rng, 30)), (1, words(rng, 30)), (None, words(rng, 30)), (None, words(rng, 25)), (2, words(rng, 30))]
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    table = [(k, words(rng, 20) + " " + text) for k, (_, text) in enumerate(items)] + [(9, words(rng, 60))]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    for at_once in (2, 100):
+        got = decontamination.find_leaks(docs, bench, at_once=at_once).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in got} == {(0, 1), (1, 1), (2, None), (3, None), (4, 2)} and len(got) == 5
+        assert [r["doc_id"] for r in decontamination.drop_leaking(docs, bench, at_once=at_once).collect()] == [9]
+
+
 def test_toxicity(spark, none):
     rng = random.Random(6)
     table = [(i, words(rng, 80) + (" vile" * (1 + i % 5) + " Scum!" if i % 6 == 0 else "")) for i in range(500)] + [(1000, None), (1001, "")]
