@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +20,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 #: ASCII white space that separates words; ``bytes.split()`` splits on exactly these six.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 ROWS_PER_BUCKET = 500_000
+BROADCAST_ROWS = 100_000
+MOST_TASKS = 20_000
 NULL_KEY = b""
 
 
@@ -26,11 +32,18 @@ def scratch_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="kgraph-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_dir()
     return base.rstrip("/")
 
 
+@lru_cache(1)
+def _local_dir() -> str:
+    """One temporary folder for this process, removed when it ends."""
+    folder = tempfile.mkdtemp(prefix="kgraph-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/kgraph-llm/{uuid.uuid4().hex[:12]}-{name}"
 
@@ -44,9 +57,20 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Long texts: keep Arrow batches to Python small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``rows`` at most, without copies: long texts become Python objects a few
+    at a time, whatever the session's batch size is."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def cuts(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(key, start, end) of each run of equal keys in a sorted array: only keys that are there, however
+    many others there might be."""
+    if len(keys):
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))).tolist()
+        yield from zip(keys[starts].tolist(), starts, [*starts[1:], len(keys)])
 
 
 def text_key(text: Column) -> Column:
@@ -69,27 +93,49 @@ def bucket_count(rows: int, per: int = ROWS_PER_BUCKET) -> int:
     return max(8, min(1 << 20, -(-rows // per)))
 
 
-def running_offset(counts: DataFrame, within: Iterable[str], order: Iterable[str], n: str = "n", out: str = "offset") -> DataFrame:
-    """Exclusive prefix sum of column n within groups; counts is a small histogram, never the rows."""
-    w = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn(out, F.coalesce(F.sum(n).over(w), F.lit(0)).cast("long"))
+def power_of_two(n: int, least: int = 1) -> int:
+    return max(least, 1 << max(0, n - 1).bit_length())
+
+
+def dealt(df: DataFrame, ranges: int) -> DataFrame:
+    """df by its column ``range``, ready to be grouped by it: each range is one task, so that tasks stay of one
+    size however much the input grows; very many ranges share tasks."""
+    if ranges <= MOST_TASKS:
+        return df.repartitionById(ranges, F.col("range"))
+    return df.repartition(MOST_TASKS, "range")
+
 
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, share: int = 1000) -> DataFrame:
+    """Inner join of left with right, which has each key once and says in ``weight`` how many rows of left
+    have it, of ``total``. Keys that hold over one in ``share`` of all rows, at most ``share`` keys, are
+    broadcast, so that no task gets all rows of a hot key; the others are joined by a shuffle."""
+    limit = max(share, total // share)
+    hot = F.broadcast(right.filter(F.col(weight) > limit).withColumn("_hot", F.lit(True)))
+    names = [c for c in right.columns if c not in keys]
+    tried = left.join(hot, keys, "left")
+    found = tried.filter("_hot").select(*left.columns, *names)
+    rest = tried.filter("_hot is null").select(*left.columns)
+    return found.unionAll(rest.join(right.filter(F.col(weight) <= limit), keys).select(*left.columns, *names))
 
-def dense_rank_in(df: DataFrame, group: list[str], cells: dict[str, Column], order: list[Column], out: str) -> DataFrame:
-    """Gapless numbers from 0 within each group, without bringing a group into one task: a group falls
-    into cells, a histogram over (group, cell) gives each cell its first number, and only the rows of one
-    cell are sorted together. The order is deterministic: by cell, then by ``order``. Group columns and
-    cells must not be null, so that both sides of the join share one exchange."""
-    df = df.withColumns(cells)
-    keys = [*group, *cells]
-    first = running_offset(df.groupBy(*keys).agg(F.count("*").alias("n")), group, list(cells), out="_first").drop("n")
-    numbered = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    kept = [c for c in df.columns if c not in cells]
-    return numbered.join(first, keys).select(*(F.col(f"`{c}`") for c in kept), (F.col("_first") + F.col("_rn") - 1).cast("long").alias(out))
 
+def dense_rank_in(df: DataFrame, group: list[str], order: list[str], rows: int, out: str, per: int = ROWS_PER_BUCKET) -> DataFrame:
+    """df with a column ``out``: gapless numbers from 0 within each group, in the order of columns ``order``.
 
-def hash_cell(n: int, *by: str) -> dict[str, Column]:
-    return {"_b": F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")}
+    Rows are range-sorted by group and order into parts of about ``per``, so that a group of any size spreads
+    over parts and cells of one value over as many as they need; each part numbers its own rows as it is
+    written. What goes through one window is a row for each group of a part. Equal rows may be numbered
+    in either order; else the numbers don't depend on how the parts fall. Group columns must not be null."""
+    n = bucket_count(rows, per)
+    parts = df.repartitionByRange(n, *group, *order).sortWithinPartitions(*group, *order)
+    at = F.monotonically_increasing_id()
+    parts = save(parts.withColumns({"_part": F.shiftright(at, 33).cast("int"), "_at": at.bitwiseAND((1 << 33) - 1)}), "ranked-parts")
+    firsts = parts.groupBy("_part", *group).agg(F.min("_at").alias("_low"), F.count("*").alias("_n"))
+    w = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = save(firsts.select("_part", *group, (F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_low")).alias("_add")), "ranked-firsts")
+    if firsts.count() <= BROADCAST_ROWS:
+        firsts = F.broadcast(firsts)
+    numbered = parts.join(firsts, ["_part", *group])
+    return numbered.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("_at") + F.col("_add")).cast("long").alias(out))
 
 
 def scan_rows(df: DataFrame, columns: list[Column]) -> DataFrame:
@@ -111,22 +157,24 @@ def as_scan(df: DataFrame) -> DataFrame:
 SIDE_CHUNK = 256
 
 
-def attach(docs: DataFrame, answers: DataFrame, fields: dict[str, T.DataType], name: str) -> DataFrame:
-    """docs with the columns ``fields`` of answers (file, row, ...), null for rows without an answer. docs
-    is scanned again and looks its answers up in side files, so its own columns are never shuffled. docs
-    must be a scan of Parquet files; clashing names are kept apart by position."""
+def attach(docs: DataFrame, answers: DataFrame, fields: dict[str, T.DataType], name: str, columns: list[Column] | None = None) -> DataFrame:
+    """``columns`` of docs (all, if None) with the columns ``fields`` of answers (file, row, ...), null for rows
+    without an answer. docs is scanned again and looks its answers up in side files, so its own columns are
+    never shuffled. docs must be a scan of Parquet files; clashing names are kept apart by position."""
     docs = as_scan(docs)
-    names = docs.columns
+    columns = [F.col(f"`{c}`") for c in docs.columns] if columns is None else columns
+    shape = docs.select(*columns).schema
+    names = shape.names
     keyed = answers.select("file", "row", *fields).withColumn("chunk", F.floor(F.col("row") / SIDE_CHUNK).cast("long"))
     side = SideFiles(keyed, "file", ["chunk", "row"], name)
-    inputs = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
-    kept = [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(names)]
+    inputs = [c.alias(f"c{i}") for i, c in enumerate(columns)]
+    kept = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(shape)]
     added = [T.StructField(f"a{i}", t) for i, t in enumerate(fields.values())]
     kinds = [to_arrow_type(t) for t in fields.values()]
 
     def run(batches):
         reader = side.reader()
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             at, rows = None, {}
             for file, row in zip(batch.column("file").to_pylist(), batch.column("row").to_pylist()):

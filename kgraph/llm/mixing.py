@@ -49,7 +49,7 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     last. A source without words has target 0 and gives no copies. An empty table gives no rows.
 
     Only one row for each source reaches the driver; that table must fit there. A source that holds most
-    rows is ranked in cells of one size and hash bucket, never in one task.
+    rows is range-sorted into parts and ranked there, never in one task.
     """
     spark = docs.sparkSession
     columns = [
@@ -61,9 +61,8 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     wanted = targets([(None if r["_none"] else r["_source"], r["size"]) for r in found], weights, share, ceiling)
     rows = [(r["_none"], r["_source"], r["size"], wanted[None if r["_none"] else r["_source"]]) for r in found]
     plan = spark.createDataFrame(rows, "_none boolean, _source string, source_size long, target double")
-    cells = {"_cell": F.col("_size")} | common.hash_cell(common.bucket_count(sum(r["n"] for r in found)), "_tie")
-    ranked = common.dense_rank_in(base, ["_none", "_source"], cells, [F.col("_tie"), F.col("_id")], "_rank")
-    if len(rows) <= 100_000:
+    ranked = common.dense_rank_in(base, ["_none", "_source"], ["_size", "_tie", "_id"], sum(r["n"] for r in found), "_rank")
+    if len(rows) <= common.BROADCAST_ROWS:
         plan = F.broadcast(plan)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = F.pmod(F.xxhash64(F.lit(seed), "_none", "_source"), F.lit(1 << 53)) / F.lit(float(1 << 53))
