@@ -4,7 +4,7 @@ A window is removed where the same words also start in a document with a smaller
 twice, in the same scan order, and their texts are never shuffled. The first pass hashes every window of a
 chunk of rows (a rolling polynomial over 64-bit word hashes, and 16 more bits of a second polynomial),
 keeps each distinct window once with the smallest id in the chunk, and sends the sorted hashes out by
-range in compressed blobs. Each range is merged by one task, which answers with one bit for each hash:
+range in compressed blobs. Spark groups the blobs by range; each range is merged and counted by one task, which answers with one bit for each hash:
 whether a smaller id outside the chunk has the window. The second pass computes the windows again, applies
 bits and the ids of its own chunk, merges covered words to maximal intervals, and cuts them out.
 
@@ -26,8 +26,12 @@ from pyspark.sql import functions as F
 from kgraph.llm import common
 
 WINDOW = 13
-CHUNK_ROWS = 256
-WINDOWS_PER_RANGE = 2_500_000
+CHUNK_ROWS = 2048
+CHUNK_WORDS = 1_000_000
+SLICE = 256
+WINDOWS_PER_RANGE = 1_000_000
+LEAST_RANGES = 32
+MERGED_AT_ONCE = 8_000_000
 BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 LAST = (1 << 63) - 1
 VOCABULARY = 200_000
@@ -67,23 +71,25 @@ def window_hashes(values: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarr
 
 
 class Chunk:
-    """A run of rows of one scan, with their words and windows."""
+    """A run of rows of one scan, with their windows and, if asked for, their words."""
 
-    def __init__(self, window: int) -> None:
-        self.window, self.hash_of = window, WordHashes()
+    def __init__(self, window: int, keep_words: bool) -> None:
+        self.window, self.keep_words, self.hash_of = window, keep_words, WordHashes()
         self.clear(None)
 
     def clear(self, key) -> None:
-        self.key, self.ids, self.words, self.highs, self.lows = key, [], [], [], []
+        self.key, self.ids, self.words, self.highs, self.lows, self.n = key, [], [], [], [], 0
 
     def add(self, doc_id: int | None, text: str | None) -> None:
         words = text.encode("utf-8", "surrogatepass").split() if text else []
         values = np.fromiter(map(self.hash_of.__getitem__, words), np.uint64, len(words))
         high, low = window_hashes(values, self.window)
         self.ids.append(LAST if doc_id is None else doc_id)
-        self.words.append(words)
+        if self.keep_words:
+            self.words.append(words)
         self.highs.append(high)
         self.lows.append(low)
+        self.n += len(words)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct windows by hash, with the smallest id here, and for each window its place among them."""
@@ -94,8 +100,7 @@ class Chunk:
         if len(h) > 1 and ((h[1:] == h[:-1]) & (lo[1:] != lo[:-1])).any():
             order = np.lexsort((low, high))
             h, lo = high[order], low[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (lo[1:] != lo[:-1])
+        new = _firsts(h, lo)
         starts = np.flatnonzero(new)
         smallest = np.minimum.reduceat(ids[order], starts) if len(starts) else np.zeros(0, np.int64)
         place = np.empty(len(h), np.int64)
@@ -103,13 +108,20 @@ class Chunk:
         return h[starts], lo[starts], smallest, place
 
 
-def _chunks(batches, window: int, rows: int) -> Iterator[Chunk]:
-    """Chunks end at multiples of ``rows`` in a file and where the scan goes to another file."""
-    chunk = Chunk(window)
-    for batch in batches:
+def _firsts(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    new = np.ones(len(high), bool)
+    new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+    return new
+
+
+def _chunks(batches, window: int, rows: int, words: int, keep_words: bool) -> Iterator[Chunk]:
+    """Chunks end at multiples of ``rows`` in a file, where the scan goes to another file, and where they
+    hold ``words`` words."""
+    chunk = Chunk(window, keep_words)
+    for batch in common.slices(batches, SLICE):
         for file, row, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
             key = (file, row // rows)
-            if chunk.key is None or chunk.key[:2] != key:
+            if chunk.key is None or chunk.key[:2] != key or chunk.n >= words:
                 if chunk.key is not None:
                     yield chunk
                 chunk.clear((*key, row))
@@ -138,18 +150,34 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(gaps, dtype=np.uint64), low, own[place]
 
 
-def earlier_elsewhere(blobs: list[bytes]) -> list[np.ndarray]:
-    """For each blob and hash of it: does another blob hold the hash with a smaller id?"""
-    parts = [_unpack(b) for b in blobs]
+def _smallest_ids(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of the parts in order, each with its smallest id."""
     high, low, ids = (np.concatenate([p[i] for p in parts]) for i in range(3))
     order = np.lexsort((ids, low, high))
-    h, lo, d = high[order], low[order], ids[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (lo[1:] != lo[:-1])
-    first = d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(h) else d
-    flags = np.empty(len(h), bool)
-    flags[order] = d > first
-    return np.split(flags, np.cumsum([len(p[0]) for p in parts])[:-1])
+    high, low, ids = high[order], low[order], ids[order]
+    new = _firsts(high, low)
+    return high[new], low[new], ids[new]
+
+
+def earlier_elsewhere(blobs: list[bytes], at_once: int = MERGED_AT_ONCE) -> Iterator[np.ndarray]:
+    """For each blob and hash of it: does another blob hold the hash with a smaller id? Blobs are unpacked
+    twice and merged a few at a time into one table of distinct hashes, so that a window that all blobs
+    have takes no more memory than one that a single blob has."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    n = 0
+    for blob in blobs:
+        held.append(_unpack(blob))
+        n += len(held[-1][0])
+        if n > at_once:
+            held = [_smallest_ids(held)]
+            n = len(held[0][0]) // 2  # grows with the table, so that each hash is merged a few times at most
+    high, low, first = _smallest_ids(held)
+    for blob in blobs:
+        h, lo, ids = _unpack(blob)
+        place = np.searchsorted(high, h)
+        while (other := low[place] != lo).any():  # equal in 64 bits and not in 80
+            place[other] += 1
+        yield ids > first[place]
 
 
 def covered(flags: np.ndarray, n_words: int, window: int) -> list[tuple[int, int]]:
@@ -161,7 +189,10 @@ def covered(flags: np.ndarray, n_words: int, window: int) -> list[tuple[int, int
     return list(zip(starts[np.concatenate(([0], cut + 1))].tolist(), (starts[np.concatenate((cut, [len(starts) - 1]))] + window).tolist()))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, chunk_rows: int = CHUNK_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, window: int = WINDOW, chunk_rows: int = CHUNK_ROWS, chunk_words: int = CHUNK_WORDS,
+    windows_per_range: int = WINDOWS_PER_RANGE, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """Cut out every word under a window of ``window`` words that also starts in a document with a
     smaller id.
 
@@ -172,22 +203,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, chunk_rows: int = CHUN
     gives no rows; other columns are left out.
 
     docs is scanned twice, so it is read from files: a DataFrame that isn't a plain file scan is first
-    written to the shared folder. At larger sizes raise ``chunk_rows`` with the memory of a task (about
-    20 bytes a word of the chunk): blobs get larger and hashes pack tighter.
+    written to the shared folder. A chunk takes about 100 bytes a word, a range about 60 bytes a distinct
+    window, and a blob is a chunk's part of a range. The defaults fit tasks of a few hundred MB up to some
+    TB of text; at 100 TB raise chunks to 20 million words and ranges to 250 million windows, with tasks of
+    16 GB, so that blobs keep some hundred windows.
     """
-    spark = docs.sparkSession
-    common.small_batches(spark, chunk_rows)
-    rows = common.scan_rows(docs, [F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")])
+    rows = common.scan_rows(docs, [F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")])
     words = rows.select(F.sum(common.count_words(F.col("text")))).first()[0] or 0
-    ranges = max(2, -(-int(words) // WINDOWS_PER_RANGE))
+    ranges = common.power_of_two(-(-int(words) // windows_per_range), LEAST_RANGES)
+    shift = np.uint64(64 - (ranges.bit_length() - 1))
 
     def hash_windows(batches):
-        for chunk in _chunks(batches, window, chunk_rows):
+        for chunk in _chunks(batches, window, chunk_rows, chunk_words, False):
             high, low, ids, _ = chunk.distinct()
-            edges = np.searchsorted(high, [np.uint64((i << 64) // ranges) for i in range(1, ranges)])
-            cells = [(k, *chunk.key, len(high), _pack(high[a:b], low[a:b], ids[a:b])) for k, (a, b) in enumerate(zip([0, *edges], [*edges, len(high)])) if b > a]
+            cells = [(k, *chunk.key, len(high), _pack(high[a:b], low[a:b], ids[a:b])) for k, a, b in common.cuts(high >> shift)]
             if cells:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*cells), (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["range", "file", "chunk", "first", "n", "blob"])
+                kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*cells), kinds)], names=["range", "file", "chunk", "first", "n", "blob"])
 
     def merge(table: pa.Table) -> pa.Table:
         bits = [np.packbits(f).tobytes() for f in earlier_elsewhere(table["blob"].to_pylist())]
@@ -195,36 +227,37 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, chunk_rows: int = CHUN
 
     answer = "range int, file string, chunk long, first long, n long, bits binary"
     hashed = rows.mapInArrow(hash_windows, "range int, file string, chunk long, first long, n long, blob binary")
-    flagged = hashed.groupBy("range").applyInArrow(merge, answer)
+    flagged = common.dealt(hashed, ranges).groupBy("range").applyInArrow(merge, answer)
     side = common.SideFiles(flagged, "file", ["chunk", "range"], "repeats")
 
     def cut(batches):
         answers = side.reader()
-        for chunk in _chunks(batches, window, chunk_rows):
+        for chunk in _chunks(batches, window, chunk_rows, chunk_words, True):
             high, _, smallest, place = chunk.distinct()
-            edges = np.searchsorted(high, [np.uint64((i << 64) // ranges) for i in range(1, ranges)])
+            runs = {k: (a, b) for k, a, b in common.cuts(high >> shift)}
             elsewhere = np.zeros(len(high), bool)
             seen = 0
             for k, first, n, bits in answers.rows(chunk.key[0], chunk.key[1], ["range", "first", "n", "bits"]):
                 if (first, n) != (chunk.key[2], len(high)):
                     continue
-                a, b = ([0, *edges][k], [*edges, len(high)][k])
+                a, b = runs[k]
                 elsewhere[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
                 seen += b - a
             if seen != len(high):
                 raise RuntimeError(f"rows of {chunk.key} were scanned in another order than before")
             out, at = [], 0
-            for doc_id, words, hashes in zip(chunk.ids, chunk.words, chunk.highs):
+            for doc_id, own_words, hashes in zip(chunk.ids, chunk.words, chunk.highs):
                 own = place[at : at + len(hashes)]
                 at += len(hashes)
-                spans = covered(elsewhere[own] | (smallest[own] < doc_id), len(words), window)
+                spans = covered(elsewhere[own] | (smallest[own] < doc_id), len(own_words), window)
                 kept, last = [], 0
                 for a, b in spans:
-                    kept += words[last:a]
+                    kept += own_words[last:a]
                     last = b
-                kept = kept + words[last:] if spans else words
-                out.append((None if doc_id == LAST else doc_id, len(words), len(words) - len(kept), [list(s) for s in spans], b" ".join(kept)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary()))], names=["id", "n_words", "n_removed", "spans", "kept"])
+                kept = kept + own_words[last:] if spans else own_words
+                out.append((None if doc_id == LAST else doc_id, len(own_words), len(own_words) - len(kept), [list(s) for s in spans], b" ".join(kept)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["id", "n_words", "n_removed", "spans", "kept"])
 
     done = rows.mapInArrow(cut, "id long, n_words long, n_removed long, spans array<array<long>>, kept binary")
     return done.select(F.col("id").alias(id_col), "n_words", "n_removed", "spans", F.col("kept").cast("string").alias("kept"))
