@@ -30,6 +30,7 @@ RADIUS = 4
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 KEYS_PER_RANGE = 750_000
+KEYS_AT_ONCE = 32_768
 SMALL_GROUP = 48
 
 
@@ -52,11 +53,10 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp long) for every row."""
-    common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches):
             prints = np.fromiter((fingerprint(t, size) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints)], names=["id", "fp"])
 
@@ -129,7 +129,7 @@ def close_pairs(key: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> tu
     everything that is linked without going through all pairs of a dense group."""
     order = np.lexsort((prints, key))
     key, prints = key[order], prints[order]
-    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, len(key)))
     left, right = [], []
     small = np.repeat(sizes <= SMALL_GROUP, sizes)
@@ -138,17 +138,47 @@ def close_pairs(key: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> tu
         near = np.flatnonzero((k[d:] == k[:-d]) & (np.bitwise_count(f[d:] ^ f[:-d]) <= radius) & (f[d:] != f[:-d]))
         left.append(f[near])
         right.append(f[near + d])
+    joined = Forest()
     for start, size in zip(starts[sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP]):
         own = np.unique(prints[start : start + size])
-        a, b = reach(own, radius)
-        left.append(own[a])
-        right.append(own[b])
+        if joined.parts(own.tolist()) > 1:  # a dense cluster shares many keys; once it is linked, that is enough
+            a, b = reach(own, radius)
+            left.append(own[a])
+            right.append(own[b])
+            joined.link(own[a].tolist(), own[b].tolist())
     if not left:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     pairs = np.unique(np.stack((np.concatenate(left), np.concatenate(right)), 1), axis=0)
     return pairs[:, 0], pairs[:, 1]
 
 
+class Forest:
+    """Which numbers are linked already."""
+
+    def __init__(self) -> None:
+        self.root: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        root = self.root
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    def parts(self, some: list[int]) -> int:
+        return len({self.find(x) for x in some})
+
+    def link(self, a: list[int], b: list[int]) -> list[tuple[int, int]]:
+        """Links pairs; returns those that weren't linked before."""
+        new = []
+        for u, v in zip(a, b):
+            p, q = self.find(u), self.find(v)
+            if p != q:
+                self.root[max(p, q)] = min(p, q)
+                new.append((u, v))
+        return new
+
+
 def reach(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links among fingerprints, as places."""
     left, right, todo, block = [], [], np.arange(len(prints)), 256
@@ -173,24 +203,23 @@ def reach(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 def links(prints: DataFrame, count: int) -> DataFrame:
     """(a, b) links that connect all distinct fingerprints (column fp) within 4 bits. Keys go out in
     compressed blobs by range of key; a range is joined and verified by one task."""
-    ranges = max(2, -(-count * 84 // KEYS_PER_RANGE))
+    ranges = common.power_of_two(-(-count * 84 // KEYS_PER_RANGE), LEAST_RANGES)
+    shift = np.uint32(32 - (ranges.bit_length() - 1))
 
     def spread_keys(batches):
         for batch in batches:
             own = batch.column(0).to_numpy().view(np.uint64)
-            for at in range(0, len(own), 8192):
-                part = own[at : at + 8192]
+            for at in range(0, len(own), KEYS_AT_ONCE):
+                part = own[at : at + KEYS_AT_ONCE]
                 key, place = fuzzy_keys(part)
                 key = spread(key)
                 order = np.argsort(key, kind="stable")
                 key, place = key[order], place[order].astype(np.uint16)
-                edges = np.searchsorted(key, [(i << 32) // ranges for i in range(1, ranges)])
                 rows = []
-                for k, (a, b) in enumerate(zip([0, *edges], [*edges, len(key)])):
-                    if b > a:
-                        used, local = np.unique(place[a:b], return_inverse=True)
-                        data = np.array([b - a, len(used)], np.int64).tobytes() + part[used].tobytes() + key[a:b].tobytes() + local.astype(np.uint16).tobytes()
-                        rows.append((k, zstandard.ZstdCompressor(1).compress(data)))
+                for k, a, b in common.cuts(key >> shift):
+                    used, local = np.unique(place[a:b], return_inverse=True)
+                    data = np.array([b - a, len(used)], np.int64).tobytes() + part[used].tobytes() + key[a:b].tobytes() + local.astype(np.uint16).tobytes()
+                    rows.append((k, zstandard.ZstdCompressor(1).compress(data)))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary()))], names=["range", "blob"])
 
     def join(table: pa.Table) -> pa.Table:
@@ -204,7 +233,8 @@ def links(prints: DataFrame, count: int) -> DataFrame:
         a, b = close_pairs(np.concatenate(keys), np.concatenate(own))
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return prints.select("fp").mapInArrow(spread_keys, "range int, blob binary").groupBy("range").applyInArrow(join, "a long, b long")
+    keyed = prints.select("fp").mapInArrow(spread_keys, "range int, blob binary")
+    return common.dealt(keyed, ranges).groupBy("range").applyInArrow(join, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,14 +246,16 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id"
     empty table gives no rows; other columns are left out.
     """
     rows = common.save(fingerprints(docs, size, id_col, text_col), "prints")
-    distinct = common.save(rows.groupBy("fp").agg(F.min("id").alias("first")), "prints-distinct")
+    distinct = common.save(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "prints-distinct")
     found = common.save(links(distinct, distinct.count()), "print-links")
     roots = components(found)
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     rooted = common.save(rooted, "print-roots")
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = common.save(rooted.join(smallest, "root").select("fp", "component_id"), "print-classes")
-    out = rows.join(classes, "fp")
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("prints"), F.sum("n").alias("docs"))
+    n_prints, n_docs = smallest.agg(F.coalesce(F.sum("prints"), F.lit(0)), F.coalesce(F.sum("docs"), F.lit(0))).first()
+    classes = common.join_hot(rooted, smallest.drop("docs"), ["root"], "prints", n_prints).select("fp", "component_id", "n")
+    classes = common.save(classes, "print-classes")
+    out = common.join_hot(rows, classes, ["fp"], "n", n_docs)
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -329,33 +361,19 @@ def verified_forest(key: np.ndarray, place: np.ndarray, rows: np.ndarray, most_b
     sizes = np.diff(np.append(starts, len(key)))
     rest = np.repeat(sizes, sizes) - (np.arange(len(key)) - np.repeat(starts, sizes))
     rest[np.repeat(sizes > SMALL_GROUP, sizes)] = 0
-    root: dict[int, int] = {}
+    joined = Forest()
     kept: list[tuple[int, int]] = []
-
-    def find(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = root.get(up, up)
-            x = up
-        return x
-
-    def link(a: np.ndarray, b: np.ndarray) -> None:
-        for u, v in zip(a.tolist(), b.tolist()):
-            p, q = find(u), find(v)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                kept.append((u, v))
-
     for d in range(1, SMALL_GROUP):
         open_ = np.flatnonzero(rest > d)
         for at in range(0, len(open_), 1 << 18):
             x, y = place[open_[at : at + (1 << 18)]], place[open_[at : at + (1 << 18)] + d]
             near = within(rows[x], rows[y], most_bits)
-            link(x[near], y[near])
+            kept += joined.link(x[near].tolist(), y[near].tolist())
     for start, size in zip(starts[sizes > SMALL_GROUP].tolist(), sizes[sizes > SMALL_GROUP].tolist()):
         own = place[start : start + size]
-        if len({find(x) for x in own.tolist()}) > 1:
+        if joined.parts(own.tolist()) > 1:
             a, b = reach_lanes(rows[own], most_bits)
-            link(own[a], own[b])
+            kept += joined.link(own[a].tolist(), own[b].tolist())
     pairs = np.array(kept, np.int64).reshape(-1, 2)
     return pairs[:, 0], pairs[:, 1]
 
@@ -398,7 +416,8 @@ def similar_links(prints: DataFrame, count: int, lanes: int, most_bits: int) ->
         a, b = verified_forest(*lane_keys(rows[:, k], part, parts), rows, most_bits)
         return pa.table({"a": own[a], "b": own[b]})
 
-    met = prints.select("fp", "lanes").mapInArrow(spread_prints, "range int, blob binary").groupBy("range").applyInArrow(join, "a long, b long")
+    keyed = prints.select("fp", "lanes").mapInArrow(spread_prints, "range int, blob binary")
+    met = common.dealt(keyed, lanes * parts).groupBy("range").applyInArrow(join, "a long, b long")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -437,7 +456,7 @@ def exact_links(docs: DataFrame, members: DataFrame, size: int, least: float, te
 
     def read_sets(batches):
         reader = side.reader()
-        for batch in batches:
+        for batch in common.slices(batches):
             out, at, found = [], None, {}
             for file, row, text in zip(*(batch.column(c).to_pylist() for c in ("file", "row", "text"))):
                 if at != (file, row // common.SIDE_CHUNK):
@@ -478,27 +497,31 @@ def similar_classes(docs: DataFrame, size: int, least: float = LEAST, lanes: int
     candidates the sets of shingles are compared exactly. At similarity 0.8 keys miss one link in 80, at
     0.85 one in 800; by the binomial the radius misses one in 18,000 at 0.8.
     """
-    common.small_batches(docs.sparkSession)
     docs = common.as_scan(docs)
     rows = common.scan_rows(docs, [F.col(f"`{text_col}`").cast("string").alias("text")])
 
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches):
             prints = pa.array([lanes_of(t, size, lanes) for t in batch.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("row"), prints], names=["file", "row", "lanes"])
 
     prints = common.save(rows.mapInArrow(run, "file string, row long, lanes binary").withColumn("fp", F.xxhash64("lanes")), "lanes")
-    distinct = common.save(prints.groupBy("fp").agg(F.first("lanes").alias("lanes"), F.min(F.struct("file", "row")).alias("at")), "lanes-distinct")
+    distinct = common.save(prints.groupBy("fp").agg(F.first("lanes").alias("lanes"), F.min(F.struct("file", "row")).alias("at"), F.count("*").alias("copies")), "lanes-distinct")
     share = differing_share(least)
     bits = 64 * lanes
     most_bits = int(bits * share + MARGIN * (bits * share * (1 - share)) ** 0.5)
     near = common.save(similar_links(distinct, distinct.count(), lanes, most_bits), "lane-links")
     joined = components(near)
-    members = distinct.join(joined, F.col("fp") == F.col("node")).join(joined.groupBy("root").agg(F.count("*").alias("n")), "root")
-    members = common.save(members.select("at.file", "at.row", "root", "fp", "n"), "lane-members")
+    joined = common.save(joined, "lane-roots")
+    met = distinct.join(joined, F.col("fp") == F.col("node")).select("at.file", "at.row", "root", "fp")
+    members = common.join_hot(met, joined.groupBy("root").agg(F.count("*").alias("n")), ["root"], "n", joined.count())
+    members = common.save(members, "lane-members")
     found = common.save(exact_links(docs, members, size, least, text_col), "exact-links")
     roots = components(found)
-    return prints.join(roots, F.col("fp") == F.col("node"), "left").select("file", "row", F.coalesce("root", "fp").alias("class"))
+    classes = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "copies", F.coalesce("root", "fp").alias("class"))
+    classes = common.save(classes, "lane-classes")
+    total = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    return common.join_hot(prints, classes, ["fp"], "copies", total).select("file", "row", "class")
 
 
 def drop_near_duplicates(docs: DataFrame, size: int, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
