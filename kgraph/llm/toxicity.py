@@ -18,11 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kgraph.llm import common
 from kgraph.llm.quality_classifier import held_out
 
 MOST_LABELS = 20_000
+MOST_BROADCAST = 200_000
 MOST_FEATURES = 4096
 BUCKETS = 1 << 22
 GRADES = 3
@@ -100,7 +102,7 @@ def pick(labelled: DataFrame, n_bad: int, n_good: int, most: int = MOST_FEATURES
     def count(batches):
         bad, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         known = Known(None)
-        for batch in batches:
+        for batch in common.slices(batches):
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
                 found = {f for token in set((text or "").split()) for f in known[token]}
                 (bad if label else good)[np.fromiter(found, np.int64, len(found))] += 1
@@ -116,22 +118,35 @@ def pick(labelled: DataFrame, n_bad: int, n_good: int, most: int = MOST_FEATURES
     return {r["f"]: i for i, r in enumerate(top.collect())}
 
 
+def with_labels(docs: DataFrame, labels: DataFrame, n: int, id_col: str, text_col: str, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """(_id, text, label) of the rows of docs that labels (_label_id, label; each id once, n rows) names. Texts
+    aren't shuffled: up to ``most_broadcast`` labels, 20 bytes each, are broadcast; of more, ids alone are
+    joined, and the rows look their labels up in side files."""
+    columns = [F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("text")]
+    same = F.col("_id") == F.col("_label_id")
+    if n <= most_broadcast:
+        return docs.select(*columns).join(F.broadcast(labels), same).select("_id", "text", "label")
+    docs = common.as_scan(docs)
+    found = common.scan_rows(docs, columns[:1]).join(labels, same).select("file", "row", "label")
+    return common.attach(docs, found, {"label": T.IntegerType()}, "labels", columns).filter("label is not null")
+
+
 def learn(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, id_col: str = "doc_id", text_col: str = "text") -> Ordinal:
     """A model from labelled rows: feature counts over all of them, weights from about ``most_labels`` at
-    most, taken by a hash of the id, of which only picked features reach the driver."""
+    most, taken by a hash of the id, of which only picked features reach the driver. The label of an id with
+    several is their majority, ties to toxic; null labels and ids are left out. Features of equal gain are
+    picked by number. Repeated rows of a labelled id all count."""
     one = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_label_id")).agg((F.avg("toxic") >= 0.5).cast("int").alias("label"))
     one = common.save(one, "toxic-labels")
     n = {r["label"]: r["n"] for r in one.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    small = F.broadcast(one) if sum(n.values()) <= 200_000 else one
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    labelled = texts.join(small, F.col("_id") == F.col("_label_id")).select("_id", "text", "label")
+    labelled = with_labels(docs, one, sum(n.values()), id_col, text_col)
     if not n.get(1):
         return Ordinal({}, np.zeros(0), np.array([8.0, 9.0, 10.0]))
     picked = pick(labelled, n.get(1, 0), n.get(0, 0))
 
     def extract(batches):
         known = Known(picked)
-        for batch in batches:
+        for batch in common.slices(batches):
             out = []
             for i, text, label in zip(*(c.to_pylist() for c in batch.columns)):
                 tokens = (text or "").split()
@@ -160,18 +175,15 @@ def grade(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
     or more) and toxic (1 if grade is 1 or more). Null and empty texts have no features. Repeated rows get
     equal grades; other columns are left out. One scan, no shuffle.
     """
-    common.small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
 
     def run(batches):
         known = Known(model.picked)
-        for batch in batches:
+        for batch in common.slices(batches):
             z = np.array([sum(model.weights[f] for f in {f for t in set((text or "").split()) for f in known[t]}) for text in batch.column("t").to_pylist()], np.float64)
             up = model.at_least(z)
             yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(up.sum(1)), pa.array((up >= 0.5).sum(1).astype(np.int32))], names=["i", "severity", "grade"])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([T.StructField("i", kind), T.StructField("severity", T.DoubleType()), T.StructField("grade", T.IntegerType())])
     out = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).mapInArrow(run, schema)
     return out.select(F.col("i").alias(id_col), "severity", "grade", (F.col("grade") >= 1).cast("int").alias("toxic"))

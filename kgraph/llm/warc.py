@@ -23,6 +23,7 @@ from urllib.parse import quote, urlsplit
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kgraph.llm import common
 
@@ -31,7 +32,6 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BLOCK_LINES = 512
 FILE_BYTES = 1 << 30
 READ_AHEAD = 1 << 20
-BROADCAST_ROWS = 100_000
 KEEP = "!#$%&'()*+,/:;=?@[]~"
 
 CAPTURE = "urlkey string, stamp string, page_id long, file string, start long, length long, digest string"
@@ -109,25 +109,30 @@ def _page_of(name: str) -> int | None:
     return None if name == "null" else int(name)
 
 
-def write_archive(pages: DataFrame, min_revisit_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def write_archive(pages: DataFrame, min_revisit_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_broadcast: int = common.BROADCAST_ROWS) -> DataFrame:
     """Write every page as a WARC record and return its capture (urlkey, stamp, page_id, file, start,
     length, digest).
 
     Of pages with equal payloads of at least ``min_revisit_bytes`` bytes, the one with the smallest id is
     written in full and the others as revisits of it; repeated rows that share that id are all written
     in full. Null html is an empty payload. Null ids sort after others and null urls get the key ``-``.
-    No html is shuffled unless more than 100,000 payloads repeat: the table of repeated digests is
-    broadcast below that number of rows and joined by shuffle above it.
+    No html is shuffled: the table of repeated digests is broadcast up to ``most_broadcast`` rows of 40 bytes,
+    and above that digests alone are joined and the rows look their answers up in side files.
     """
     spark = pages.sparkSession
-    common.small_batches(spark)
-    rows = pages.select(
-        F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"),
-    ).withColumn("dg", F.unhex(F.sha1("payload")))
+    payload = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).cast("binary")
+    columns = [F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload")]
+    digest = F.unhex(F.sha1(payload)).alias("dg")
+    rows = pages.select(*columns, digest)
     long_enough = rows.filter(F.octet_length("payload") >= min_revisit_bytes)
-    again = common.save(long_enough.groupBy("dg").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("dg", "first", F.lit(True).alias("again")), "warc-repeats")
-    small = again.count() <= BROADCAST_ROWS
-    todo = rows.join(F.broadcast(again) if small else again.hint("shuffle_hash"), "dg", "left")
+    again = common.save(long_enough.groupBy("dg").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("dg", "first", F.lit(True).alias("again"), "n"), "warc-repeats")
+    found, copies = again.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if found <= most_broadcast:
+        todo = rows.join(F.broadcast(again), "dg", "left")
+    else:
+        pages = common.as_scan(pages)
+        placed = common.join_hot(common.scan_rows(pages, [digest]), again, ["dg"], "n", copies)
+        todo = common.attach(pages, placed, {"first": T.LongType(), "again": T.BooleanType()}, "warc-repeats", columns)
     todo = todo.select("id", "url", "payload", "first", (F.coalesce("again", F.lit(False)) & ~F.col("id").eqNullSafe(F.col("first"))).alias("revisit"))
     base = common.scratch_path(spark, "warc")
 
@@ -136,7 +141,7 @@ def write_archive(pages: DataFrame, min_revisit_bytes: int = 0, id_col: str = "p
         fs.create_dir(root, recursive=True)
         out = name = None
         at = 0
-        for batch in batches:
+        for batch in common.slices(batches):
             found = []
             for page_id, url, payload, first, revisit in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None or at >= FILE_BYTES:
