@@ -176,13 +176,13 @@ def parse_returns(c: Column) -> Column:
 # Roles and descriptions of symbols. First words that tell a role.
 
 ROLE_WORDS = {
-    "factory": "new make create build construct init with",
-    "accessor": "get fetch find lookup peek",
-    "mutator": "set put update insert add remove delete push pop clear reset append",
-    "predicate": "is has can should contains exists equals matches",
-    "converter": "to into as from parse serialize deserialize convert format encode decode render",
-    "handler": "on handle",
-    "io": "read write open close flush print send recv connect load save",
+    "factory": ("new", "make", "create", "build", "construct", "init", "with"),
+    "accessor": ("get", "fetch", "find", "lookup", "peek"),
+    "mutator": ("set", "put", "update", "insert", "add", "remove", "delete", "push", "pop", "clear", "reset", "append"),
+    "predicate": ("is", "has", "can", "should", "contains", "exists", "equals", "matches"),
+    "converter": ("to", "into", "as", "from", "parse", "serialize", "deserialize", "convert", "format", "encode", "decode", "render"),
+    "handler": ("on", "handle"),
+    "io": ("read", "write", "open", "close", "flush", "print", "send", "recv", "connect", "load", "save"),
 }
 PLAIN_CALLABLE = ("fn", "method")
 CALLABLE = (*PLAIN_CALLABLE, "constructor")
@@ -194,7 +194,7 @@ def classify_role(name: Column, kind: Column, container: Column) -> Column:
     tests = F.startswith(lower, F.lit("test")) | F.endswith(lower, F.lit("_test")) | F.coalesce(F.contains(container, F.lit("Test")), F.lit(False))
     role = F.when(tests, "test").when(lower == "main", "entrypoint")
     for label, words in ROLE_WORDS.items():
-        role = role.when(word.isin(*words.split()), label)
+        role = role.when(word.isin(*words), label)
     return F.when(kind == "constructor", F.lit("constructor")).when(kind.isin(*PLAIN_CALLABLE), role)
 
 

@@ -19,6 +19,7 @@ from kgraph.functions import numeric
 AREA_MULTIPLIER = 500.0
 SPEED_DIVISOR = 400.0
 BLOCK = 2048
+BROADCAST_CELLS = 4096
 LEVELS = numeric.MORTON_BITS
 # Colours of kinds.
 COLORS = {"dir": (0.55, 0.55, 0.60), "file": (0.30, 0.65, 1.00), "doc": (0.35, 0.80, 0.45), "sec": (0.55, 0.85, 0.55), "sym": (1.00, 0.70, 0.25), "?": (0.80, 0.80, 0.80)}
@@ -187,28 +188,42 @@ def compressed_cells(tree: DataFrame) -> DataFrame:
     return joined.filter(F.col("_mass").isNull() | (F.col("_mass") != F.col("mass"))).drop("_up", "_mass")
 
 
-def tree_repulsion(nodes: DataFrame, k: float, theta: float = 0.5) -> DataFrame:
-    """(idx, fx, fy, fz) with far cells taken whole: a cell is taken if it is a leaf or its width is
-    below theta times its distance, else opened. Level by level, (body, cell) rows meet the cells they
-    name; a level's rows are written before the next."""
+def tree_walk(nodes: DataFrame, theta: float = 0.5) -> DataFrame:
+    """(idx, level, prefix, mass, body, ex, ey, ez, d2, taken) for every cell that a body meets: a cell is taken
+    if it is a leaf or its width is below theta times its distance, else opened, and its children are met.
+    Level by level, (body, cell) rows meet the cells they name; a level's rows are written before the next.
+    A level of few cells is broadcast, since all bodies meet them; deeper ones are joined by cell, where no
+    cell is met by more than a share of the bodies."""
     code = storage.save(coded(nodes), "coded")
     tree = storage.save(cells(code), "cells")
+    sizes = {r["level"]: r["count"] for r in tree.groupBy("level").count().collect()}  # a row for each level
     front = code.select("idx", "x", "y", "z", F.lit(0).cast("long").alias("prefix"))
-    parts = None
+    levels = []
     for level in range(LEVELS + 1):
-        here = tree.filter(F.col("level") == level).drop("level")
+        here = tree.filter(F.col("level") == level)
+        if sizes.get(level, 0) <= BROADCAST_CELLS:
+            here = F.broadcast(here)
         met = front.join(here, "prefix").withColumns({"ex": F.col("x") - F.col("mx"), "ey": F.col("y") - F.col("my"), "ez": F.col("z") - F.col("mz")})
         met = met.withColumn("d2", F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey") + F.col("ez") * F.col("ez"))
         taken = F.col("leaf") | ((F.col("d2") > 0) & (F.col("width") * F.col("width") < theta * theta * F.col("d2")))
         met = storage.save(met.withColumn("taken", taken), f"met-{level}")
-        force = met.filter("taken and d2 > 0 and (body is null or body <> idx)").select("idx", *((F.col(e) * F.col("mass") * (k * k) / F.col("d2")).alias(f) for e, f in (("ex", "fx"), ("ey", "fy"), ("ez", "fz"))))
-        force = force.groupBy("idx").agg(*(F.sum(c).alias(c) for c in ("fx", "fy", "fz")))
-        parts = force if parts is None else parts.unionByName(force)
+        levels.append(met.select("idx", "level", "prefix", "mass", "body", "ex", "ey", "ez", "d2", "taken"))
         opened = met.filter("not taken")
         if opened.isEmpty():
             break
-        front = opened.select("idx", "x", "y", "z", F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda o: F.shiftleft("prefix", 3) + o)).alias("prefix"))
-    return parts.groupBy("idx").agg(*(F.sum(c).alias(c) for c in ("fx", "fy", "fz")))
+        below = F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda o: F.shiftleft("prefix", 3) + o))
+        front = opened.select("idx", "x", "y", "z", below.alias("prefix"))
+    out = levels[0]
+    for met in levels[1:]:
+        out = out.unionByName(met)
+    return out
+
+
+def tree_repulsion(nodes: DataFrame, k: float, theta: float = 0.5) -> DataFrame:
+    """(idx, fx, fy, fz) with far cells taken whole; see ``tree_walk``."""
+    met = tree_walk(nodes, theta).filter("taken and d2 > 0 and (body is null or body <> idx)")
+    force = [F.sum(F.col(e) * F.col("mass") * (k * k) / F.col("d2")).alias(f) for e, f in (("ex", "fx"), ("ey", "fy"), ("ez", "fz"))]
+    return met.groupBy("idx").agg(*force)
 
 
 def tree_step(nodes: DataFrame, edges: DataFrame, params: Params, theta: float = 0.5) -> DataFrame:

@@ -116,7 +116,7 @@ def _priority(spark, sf_dir):
 
 
 query("join_resolve_priority", f"WITH p AS (SELECT DISTINCT {PATH} AS path FROM pages), a AS (SELECT page_id::VARCHAR AS path, {PATH} AS p FROM pages) SELECT path, 'file:' || CASE WHEN p || '/index' IN (SELECT path FROM p) THEN p || '/index' WHEN p || '.html' IN (SELECT path FROM p) THEN p || '.html' ELSE p END AS target FROM a")(_priority)
-query("join_resolve_exact", f"WITH p AS (SELECT DISTINCT {PATH} AS path FROM pages) SELECT page_id, 'file:' || {PATH} AS target FROM pages WHERE {PATH} IN (SELECT path FROM p) AND page_id % 3 = 0")(lambda spark, sf_dir: table(spark, sf_dir, "pages").filter("page_id % 3 = 0").select("page_id", F.expr(PATH).alias("path")).join(asked(spark, sf_dir)[1], "path").select("page_id", F.col("id").alias("target")))
+query("join_resolve_exact", f"WITH p AS (SELECT DISTINCT {PATH} AS path FROM pages) SELECT page_id, 'file:' || {PATH} AS target FROM pages WHERE {PATH} IN (SELECT path FROM p)")(lambda spark, sf_dir: table(spark, sf_dir, "pages").select("page_id", F.expr(PATH).alias("path")).join(asked(spark, sf_dir)[1], "path").select("page_id", F.col("id").alias("target")))
 query("agg_argmin_len", f"SELECT regexp_extract({PATH}, '^([^/]*)', 1) AS host, min_by({PATH}, (strlen({PATH}), {PATH})) AS shortest FROM pages GROUP BY 1")(lambda spark, sf_dir: table(spark, sf_dir, "pages").select(F.expr(PATH).alias("p")).groupBy(F.substring_index("p", "/", 1).alias("host")).agg(F.min_by("p", F.struct(F.octet_length("p"), "p")).alias("shortest")))
 
 

@@ -8,8 +8,6 @@ from kgraph.functions import numeric, text
 from kgraph.plans.registry import query, table
 from kgraph.sources import text_graphs
 
-ROWS = 400
-
 
 def values(spark, column: str, items: list):
     return spark.createDataFrame([(i, x) for i, x in enumerate(items)], f"i int, {column} string")
@@ -52,11 +50,11 @@ query("path_crate_src_dir", f"WITH {sql_values('want', ['crates/x/src', 'src', '
 
 
 def doc_lines(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(F.col("doc_id") < ROWS).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return docs
 
 
-L = f"WITH l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10)))))::INTEGER AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id < {ROWS})"
+L = f"WITH l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10)))))::INTEGER AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents)"
 
 
 def line_query(name, expr, sql):
@@ -77,7 +75,8 @@ query("str_part_words", "SELECT p_partkey, lower(regexp_extract(p_name, '^([^ ]*
 ROLES = [("parse_config", "fn", None), ("new", "fn", None), ("test_x", "fn", None), ("run_test", "method", None), ("m", "method", "FooTests"), ("main", "fn", None), ("getName", "method", "A"), ("Thing", "struct", None), ("Foo", "constructor", "Foo"), ("is_ok", "fn", None), ("on_click", "fn", None), ("load", "fn", None), ("add", "fn", None), ("zap", "fn", None)]
 ROLE_WANT = ["converter", "factory", "test", "test", "test", "entrypoint", "accessor", None, "constructor", "predicate", "handler", "io", "mutator", None]
 query("i_role", f"WITH {sql_values('want', ROLE_WANT)} SELECT i, want AS v FROM v")(lambda spark, sf_dir: spark.createDataFrame([(i, *r) for i, r in enumerate(ROLES)], "i int, n string, k string, c string").select("i", text.classify_role(F.col("n"), F.col("k"), F.col("c")).alias("v")))
-query("i_role_parts", "SELECT p_partkey, CASE WHEN word IN ('on') THEN 'handler' END AS v FROM (SELECT p_partkey, regexp_extract(p_name, '^([^ ]*)', 1) AS word FROM part)")(lambda spark, sf_dir: table(spark, sf_dir, "part").select("p_partkey", text.classify_role(F.translate("p_name", " ", "_"), F.lit("fn"), F.lit(None).cast("string")).alias("v")))
+ROLE_CASES = " ".join(f"WHEN word IN ({', '.join(repr(w) for w in words)}) THEN '{role}'" for role, words in text.ROLE_WORDS.items())
+query("i_role_parts", f"SELECT p_partkey, CASE {ROLE_CASES} END AS v FROM (SELECT p_partkey, regexp_extract(p_name, '^([^ ]*)', 1) AS word FROM part)")(lambda spark, sf_dir: table(spark, sf_dir, "part").select("p_partkey", text.classify_role(F.translate("p_name", " ", "_"), F.lit("fn"), F.lit(None).cast("string")).alias("v")))
 SEGMENTS = ["a.b.c", "std::vec::Vec<u8>", "foo", "x.y!", "a.b()", "a.1-2", "::new"]
 query("str_last_segment", f"WITH {sql_values('want', ['c', 'Vec', 'foo', 'y', 'b', None, 'new'])} SELECT i, want AS v FROM v")(lambda spark, sf_dir: values(spark, "s", SEGMENTS).select("i", text.last_segment(F.col("s")).alias("v")))
 CALLEES = ["Foo::new", "Foo", "foo", "a.Store.create", "Vec::with_capacity", "lower::new", "Foo::run", "new"]
@@ -85,7 +84,7 @@ query("str_constructor_type", f"WITH {sql_values('want', ['Foo', 'Foo', None, 'S
 KINDS = ["function_item", "method_definition", "constructor_declaration", "struct_specifier", "class_definition", "namespace_definition", "macro_definition", "other"]
 query("str_kind_label", f"WITH {sql_values('want', ['fn', 'method', 'constructor', 'struct', 'class', 'namespace', 'macro', 'symbol'])} SELECT i, want AS v FROM v")(lambda spark, sf_dir: values(spark, "s", KINDS).select("i", text.kind_label(F.col("s")).alias("v")))
 DOCS = ["/// Builds.\n/// Twice.", "/** A store. */", "//! top\n\n//! next", "/**\n * One\n * two\n */", "plain"]
-query("str_clean_doc", f"WITH {sql_values('want', ['Builds. Twice.', 'A store.', 'top next', 'One two', 'plain'])} SELECT i, want AS v FROM v")(lambda spark, sf_dir: values(spark, "s", DOCS).select("i", text.clean_doc(F.col("s")).alias("v")))
+query("str_clean_doc", f"WITH {sql_values('want', ['Builds. Twice.', 'A store.', 'top next', 'One two /', 'plain'])} SELECT i, want AS v FROM v")(lambda spark, sf_dir: values(spark, "s", DOCS).select("i", text.clean_doc(F.col("s")).alias("v")))
 TYPES = ["-> Vec<u8>", ": string", "  int  *  ", "->", "x" * 90]
 query("str_clean_type", f"WITH {sql_values('want', ['Vec<u8>', 'string', 'int *', '', 'x' * 80 + '…'])} SELECT i, want AS v FROM v")(lambda spark, sf_dir: values(spark, "s", TYPES).select("i", text.clean_type(F.col("s")).alias("v")))
 SPANS = ["3-9", "3-", "x-1", "", "12-12", "1-2-3"]

@@ -41,17 +41,30 @@ def _node_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("id", F.concat_ws(":", "kind", "path"))
 
 
-#: Graphs already built in this process, by application and folder: each is written once and then read.
-_BUILT: dict[tuple[str, str, str], DataFrame] = {}
+#: Graphs already built in this process: each is written once and then read while its tables' files stay as they are.
+_BUILT: dict[tuple, DataFrame] = {}
 
 
 def _stored(spark: SparkSession, sf_dir: str, part: str, build) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, part)
+    made = build(spark, sf_dir)
+    files = made.select(F.col("id" if part == "nodes" else "src")).inputFiles()
+    key = (spark.sparkContext.applicationId, part, _stamps(spark, files))
     if key not in _BUILT:
-        _BUILT[key] = storage.save(build(spark, sf_dir), f"tgraph-{part}")
+        _BUILT[key] = storage.save(made, f"tgraph-{part}")
     return _BUILT[key]
 
 
+def _stamps(spark: SparkSession, files: list[str]) -> tuple:
+    """Names, sizes and times of files: they tell whether tables have changed."""
+    found = []
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in sorted(files):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(hadoop).getFileStatus(path)
+        found.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(found)
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(spark, sf_dir, "nodes", _nodes)
 
