@@ -7,11 +7,15 @@ that found it, out edges before in edges, then by edge number.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgraph import model, storage
 
+MERGE_EVERY = 8
 DIRECTIONS = ("out", "in", "both")
 REACHED = "id string, rank long, depth int, parent string"
 
@@ -99,38 +103,42 @@ def path_between(nodes: DataFrame, edges: DataFrame, a: str, b: str) -> list[str
     return path[::-1]
 
 
-def distances(nodes: DataFrame, edges: DataFrame, seed: str) -> DataFrame | None:
-    """(id, cost, hop, via) of everything reachable from seed, edges taken either way: least cost, and the
-    hops and last edge kind of the path that wins. Costs are whole numbers, so nodes settle cost by cost;
-    of equal costs the winner comes from the predecessor first in (cost, hop, id), then out edges before
-    in edges, then the edge number. None if the seed is unknown."""
+def settle(nodes: DataFrame, edges: DataFrame, seed: str) -> Iterator[DataFrame]:
+    """(id, cost, hop, via) of what is reachable from seed, cost by cost, edges taken either way: least cost,
+    and the hops and last edge kind of the path that wins. Costs are whole numbers, so all nodes of one cost
+    settle together; of equal costs the winner comes from the predecessor first in (cost, hop, id), then
+    out edges before in edges, then the edge number. Nothing comes of an unknown seed. Whoever has enough
+    stops taking; settled ids are kept in few tables, merged every MERGE_EVERY costs."""
     start = nodes.filter(F.col("id") == seed).limit(1)
     if start.isEmpty():
-        return None
+        return
     adj = storage.save(adjacency(edges).withColumn("step", model.edge_cost(F.col("kind"))), "adjacency")
     order = ["cost", "pred_cost", "pred_hop", "pred_id", "dir", "eidx", "kind"]
-    open_ = storage.save(start.select("id", *(F.lit(0).cast("long").alias(c) for c in ("cost", "pred_cost")), F.lit(-1).cast("long").alias("pred_hop"), F.lit("").alias("pred_id"), F.lit(0).alias("dir"), F.lit(0).cast("long").alias("eidx"), F.lit(None).cast("string").alias("kind")), "open")
-    settled: list[DataFrame] = []
+    zeros = [F.lit(0).cast("long").alias(c) for c in ("cost", "pred_cost")]
+    none = F.lit(None).cast("string").alias("kind")
+    open_ = start.select("id", *zeros, F.lit(-1).cast("long").alias("pred_hop"), F.lit("").alias("pred_id"), F.lit(0).alias("dir"), F.lit(0).cast("long").alias("eidx"), none)
+    open_ = storage.save(open_, "open")
+    done: list[DataFrame] = []
     k = 0
-    while True:
-        least = open_.agg(F.min("cost")).first()[0]
-        if least is None:
-            break
+    while (least := open_.agg(F.min("cost")).first()[0]) is not None:
         k += 1
-        now = storage.save(open_.filter(F.col("cost") == least).select("id", "cost", (F.col("pred_hop") + 1).alias("hop"), F.col("kind").alias("via")), f"settled-{k}")
-        settled.append(now)
-        done = settled[0].select("id")
-        for s in settled[1:]:
-            done = done.union(s.select("id"))
+        now = open_.filter(F.col("cost") == least).select("id", "cost", (F.col("pred_hop") + 1).alias("hop"), F.col("kind").alias("via"))
+        now = storage.save(now, f"settled-{k}")
+        yield now
+        done.append(now.select("id"))
+        if len(done) > MERGE_EVERY:
+            done = [storage.save(reduce(DataFrame.union, done), f"done-{k}")]
         found = now.select(F.col("id").alias("at"), F.col("cost").alias("pred_cost"), F.col("hop").alias("pred_hop")).join(adj, "at")
         found = found.select(F.col("to").alias("id"), (F.col("pred_cost") + F.col("step")).alias("cost"), "pred_cost", "pred_hop", F.col("at").alias("pred_id"), "dir", "eidx", "kind")
-        rest = open_.filter(F.col("cost") > least).unionByName(found).join(done, "id", "left_anti")
+        rest = open_.filter(F.col("cost") > least).unionByName(found).join(reduce(DataFrame.union, done), "id", "left_anti")
         best = rest.groupBy("id").agg(F.min(F.struct(*order)).alias("b")).select("id", *(F.col(f"b.{c}").alias(c) for c in order))
         open_ = storage.save(best, f"open-{k}")
-    out = settled[0]
-    for s in settled[1:]:
-        out = out.unionByName(s)
-    return out
+
+
+def distances(nodes: DataFrame, edges: DataFrame, seed: str) -> DataFrame | None:
+    """Everything that ``settle`` gives, as one table. None if the seed is unknown."""
+    levels = list(settle(nodes, edges, seed))
+    return reduce(DataFrame.unionByName, levels) if levels else None
 
 
 PACKED = ("id", "kind", "path", "name", "lang", "symbol_kind", "container", "span", "signature", "summary", "calls", "role", "returns", "description")
@@ -140,21 +148,25 @@ def context_pack(nodes: DataFrame, edges: DataFrame, seed: str, budget: int = 20
     """The seed and what is near it, in order of (cost, hop, id), as far as the token budget goes: a node
     that would exceed it is skipped and the scan goes on. The seed is always in.
 
-    The order is a sort by range. Its rows stream to the driver part by part until no node fits any more;
-    those that can't fit at all stay behind, and at most ``budget`` are kept, a token each at least."""
-    reached = distances(nodes, edges, seed)
-    if reached is None:
-        return None
-    sized = storage.save(reached.join(nodes.select("id", model.estimate_tokens().alias("est_tokens")), "id"), "sized")
-    fits = sized.filter((F.col("hop") == 0) | (F.col("est_tokens") <= budget)).orderBy("cost", "hop", "id")
-    least = sized.agg(F.min("est_tokens")).first()[0]
+    Nodes settle cost by cost into the pack, and no further once nothing fits any more: a node takes a
+    token at least, or as much as the smallest there is. The rows of a cost stream to the driver in order;
+    those that can't fit stay behind, and at most ``budget`` are kept."""
+    tokens = nodes.select("id", model.estimate_tokens().alias("est_tokens"))
+    least = tokens.agg(F.min("est_tokens")).first()[0]
     total, kept = 0, []
-    for r in fits.select("id", "cost", "hop", "via", "est_tokens").toLocalIterator():
-        if r["hop"] == 0 or total + r["est_tokens"] <= budget:
-            total += r["est_tokens"]
-            kept.append((len(kept), r["id"], r["cost"], r["hop"], r["via"], r["est_tokens"]))
-        if total + least > budget and kept:
+    for level in settle(nodes, edges, seed):
+        sized = level.join(tokens, "id")
+        fits = sized.filter((F.col("hop") == 0) | (F.col("est_tokens") <= budget - total)).orderBy("hop", "id")
+        for r in fits.select("id", "cost", "hop", "via", "est_tokens").toLocalIterator():
+            if r["hop"] == 0 or total + r["est_tokens"] <= budget:
+                total += r["est_tokens"]
+                kept.append((len(kept), r["id"], r["cost"], r["hop"], r["via"], r["est_tokens"]))
+            if total + least > budget:
+                break
+        if total + least > budget:
             break
+    if not kept:
+        return None
     chosen = nodes.sparkSession.createDataFrame(kept, "pos long, id string, cost long, hop long, via string, est_tokens int")
     reason = F.when(F.col("hop") == 0, F.lit("seed")).otherwise(F.concat(F.col("hop").cast("string"), F.lit(" hop(s) away via "), F.col("via")))
     entries = nodes.join(F.broadcast(chosen) if budget <= 100_000 else chosen, "id")
