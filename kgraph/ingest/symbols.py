@@ -115,7 +115,7 @@ def python_symbols(source: str) -> list[Symbol]:
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError):
-        return []
+        return indented_symbols(source)
     lines = source.splitlines()
     out: list[Symbol] = []
 
@@ -169,6 +169,71 @@ def python_symbols(source: str) -> list[Symbol]:
     return out
 
 
+HEAD = re.compile(rf"([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+({WORD})")
+KEYWORDS = frozenset("and as assert async await break class continue def del elif else except exec finally for from global if import in is lambda nonlocal not or pass print raise return try while with yield".split())
+
+
+def indented_symbols(source: str) -> list[Symbol]:
+    """Definitions of Python sources that don't parse, such as older dialects and templates, by indentation:
+    one ends before the next line that isn't indented deeper than its head."""
+    source = source.expandtabs(8)
+    text = re.sub(r'"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|#[^\n]*', lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+    lines = text.split("\n")
+    at = [0]
+    for line in lines:
+        at.append(at[-1] + len(line) + 1)
+    out: list[Symbol] = []
+    open_: list[tuple[int, Symbol, int]] = []  # indent, symbol, line after its head
+
+    def end(symbol: Symbol, first: int, after: int) -> None:
+        """Takes what the finished definition holds from its lines."""
+        last = after
+        while last > symbol.start_line and not lines[last - 1].strip():
+            last -= 1
+        symbol.end_line = last
+        body = text[at[first] : at[last]]
+        symbol.refs = capped((w for w in re.findall(WORD, text[at[symbol.start_line - 1] : at[last]]) if w not in KEYWORDS), MOST_REFS, symbol.name)
+        symbol.calls = capped((w for w in re.findall(rf"({WORD})\s*\(", body) if w not in KEYWORDS), MOST_CALLS, symbol.name)
+        quoted = re.match(r"""\s*[rbuRBU]*(?:\"{3}([\s\S]*?)\"{3}|'{3}([\s\S]*?)'{3}|"([^"\n]*)"|'([^'\n]*)')""", source[at[first] : at[last]])
+        if quoted:
+            symbol.doc = squeeze(next(x for x in quoted.groups() if x is not None), DOC_MAX)
+        if symbol.kind == "fn":
+            bound = re.findall(rf"^[ ]*({WORD})[ ]*=(?!=)", body, re.M) + re.findall(rf"\bfor[ ]+({WORD})[ ]+in\b", body)
+            symbol.locals = capped([n for n, _ in symbol.params] + bound, MOST_LOCALS)
+
+    skip_to = 0
+    for i, line in enumerate(lines):
+        if i < skip_to or not line.strip():
+            continue
+        indent = len(line) - len(line.lstrip())
+        while open_ and indent <= open_[-1][0]:
+            _, symbol, first = open_.pop()
+            end(symbol, first, i)
+        m = HEAD.match(line)
+        if not m:
+            continue
+        stop = close(text, at[i] + m.end() - 1) if text[at[i] + m.end() :].lstrip(" ")[:1] == "(" else at[i] + m.end()
+        colon = text.find(":", stop, at[i] + len(line) + 1) if stop <= at[i + 1] else text.find(":", stop)
+        skip_to = text.count("\n", 0, colon if colon >= 0 else at[i]) + 1
+        head = squeeze(source[at[i] + indent : colon + 1 if colon >= 0 else at[i + 1]], SIGNATURE_MAX)
+        container = next((x.name for _, x, _ in reversed(open_) if x.kind == "class"), None)
+        symbol = Symbol(m[3], "class" if m[2] == "class" else "fn", 0, 0, i + 1, i + 1, head, container=container)
+        if symbol.kind == "fn" and "(" in head:
+            inner = head[head.index("(") + 1 : head.rindex(")") if ")" in head else len(head)]
+            for part in _split(inner)[:MOST_PARAMS]:
+                name, _, default = part.partition("=")
+                name, _, kind = name.partition(":")
+                found = re.search(WORD, name)
+                if found:
+                    symbol.params.append((found[0], (squeeze(kind, TYPE_MAX), False) if kind.strip() else _literal(default) if default else None))
+        out.append(symbol)
+        open_.append((indent, symbol, max(skip_to, i + 1)))
+    while open_:
+        _, symbol, first = open_.pop()
+        end(symbol, min(first, len(lines)), len(lines))
+    return out
+
+
 # Brace languages
 
 
@@ -185,6 +250,9 @@ MODS = r"(?:(?:public|private|protected|internal|static|final|abstract|sealed|op
 VIS = r"(?:pub(?:\([^)]*\))?\s+)?"
 NOT_NAMES = frozenset("if for while switch catch return sizeof else do new throw using when synchronized lock foreach fixed function await typeof delete case in of match".split())
 
+#: Words that may name a method all the same.
+NOT_METHODS = NOT_NAMES - {"of", "match", "when", "lock", "case", "delete"}
+
 # (kind, pattern with group name): tried in order over the masked text.
 PATTERNS: dict[str, list[tuple[str, str]]] = {
     "rust": [
@@ -197,14 +265,14 @@ PATTERNS: dict[str, list[tuple[str, str]]] = {
         ("interface", rf"(?:export\s+)?(?:declare\s+)?interface\s+(?P<name>{WORD})"), ("enum", rf"(?:export\s+)?(?:declare\s+)?(?:const\s+)?enum\s+(?P<name>{WORD})"), ("type", rf"(?:export\s+)?(?:declare\s+)?type\s+(?P<name>{WORD})\s*(?:<[^>]*>)?\s*="),
         ("fn", rf"(?:export\s+)?(?:const|let|var)\s+(?P<name>{WORD})\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:function\b|(?:\([^()]*\)|{WORD})\s*(?::[^=\n{{]+)?=>)"),
     ],
-    "kotlin": [("fn", rf"{MODS}fun\s+(?:<[^>]*>\s*)?(?:{WORD}\.)?(?P<name>{WORD})\s*\("), ("interface", rf"{MODS}interface\s+(?P<name>{WORD})"), ("class", rf"{MODS}(?:enum\s+|annotation\s+)?class\s+(?P<name>{WORD})"), ("object", rf"{MODS}object\s+(?P<name>{WORD})")],
+    "kotlin": [("fn", rf"{MODS}fun\s+(?:<[^>]*>\s*)?(?:{WORD}(?:<[^>()]*>)?\??\.)?(?P<name>{WORD})\s*\("), ("interface", rf"{MODS}interface\s+(?P<name>{WORD})"), ("class", rf"{MODS}(?:enum\s+|annotation\s+)?class\s+(?P<name>{WORD})"), ("object", rf"{MODS}object\s+(?P<name>{WORD})")],
     "java": [("class", rf"{MODS}class\s+(?P<name>{WORD})"), ("interface", rf"{MODS}@?interface\s+(?P<name>{WORD})"), ("enum", rf"{MODS}enum\s+(?P<name>{WORD})"), ("record", rf"{MODS}record\s+(?P<name>{WORD})\s*[(<]")],
     "csharp": [
         ("namespace", rf"namespace\s+(?P<name>[\w.]+)"), ("class", rf"{MODS}class\s+(?P<name>{WORD})"), ("interface", rf"{MODS}interface\s+(?P<name>{WORD})"), ("enum", rf"{MODS}enum\s+(?P<name>{WORD})"), ("struct", rf"{MODS}struct\s+(?P<name>{WORD})"),
         ("record", rf"{MODS}record\s+(?P<name>{WORD})"),
     ],
     "c": [("struct", rf"struct\s+(?P<name>{WORD})\s*(?=\{{)"), ("union", rf"union\s+(?P<name>{WORD})\s*(?=\{{)"), ("enum", rf"enum\s+(?:class\s+)?(?P<name>{WORD})\s*(?:\:\s*[\w:]+\s*)?(?=\{{)")],
-    "cpp": [("namespace", rf"namespace\s+(?P<name>[\w:]+)\s*(?=\{{)"), ("class", rf"class\s+(?P<name>{WORD})\s*(?:final\s*)?(?=[:{{])"), ("struct", rf"struct\s+(?P<name>{WORD})\s*(?:final\s*)?(?=[:{{])"), ("union", rf"union\s+(?P<name>{WORD})\s*(?=\{{)"), ("enum", rf"enum\s+(?:class\s+)?(?P<name>{WORD})\s*(?:\:\s*[\w:]+\s*)?(?=\{{)")],
+    "cpp": [("namespace", rf"namespace\s+(?P<name>[\w:]+)\s*(?=\{{)"), ("class", rf"(?<!enum )class\s+(?P<name>{WORD})\s*(?:final\s*)?(?=[:{{])"), ("struct", rf"(?<!enum )struct\s+(?P<name>{WORD})\s*(?:final\s*)?(?=[:{{])"), ("union", rf"union\s+(?P<name>{WORD})\s*(?=\{{)"), ("enum", rf"enum\s+(?:class\s+)?(?P<name>{WORD})\s*(?:\:\s*[\w:]+\s*)?(?=\{{)")],
 }
 TYPED_FN = rf"(?P<type>(?:[\w:<>\[\],.&*?~]+\s+)*?[\w:<>\[\],.&*?]+[\s&*]+)(?P<name>~?{WORD})\s*\("
 DECLARES = {"rust": rf"\blet\s+(?:mut\s+)?\(?\s*(?:mut\s+)?({WORD}(?:\s*,\s*(?:mut\s+)?{WORD})*)", "js": rf"\b(?:const|let|var)\s+[\[{{]?\s*({WORD}(?:\s*,\s*{WORD})*)", "kotlin": rf"\b(?:val|var)\s+\(?({WORD}(?:\s*,\s*{WORD})*)", "java": rf"(?:^|[;{{(])\s*(?:final\s+)?[\w<>\[\],.]+\s+({WORD})\s*(?==[^=]|;|:)"}
@@ -349,7 +417,7 @@ def brace_symbols(source: str, tag: str) -> list[Symbol]:
             found[m.start("name")] = (m["name"], "method" if lang in ("java", "csharp") else "fn", m.start("type"), body, end)
         classes = {n for n, k, *_ in found.values() if k in ("class", "struct", "record", "enum")}
         for m in re.finditer(rf"(?<![\w.])(?:(?:public|private|protected|internal)\s+)?(?P<name>{WORD})\s*\(", text) if lang in ("java", "csharp") else ():
-            if m["name"] in classes and m.start("name") not in found and not re.search(r"\bnew\s+$", text[: m.start()]):
+            if m["name"] in classes and m.start("name") not in found and not re.search(r"\bnew\s+$", text[max(0, m.start() - 24) : m.start()]):
                 after = close(text, m.end() - 1)
                 body, end = _extent(text, after, False)
                 if text[body : body + 1] == "{":
@@ -362,17 +430,33 @@ def brace_symbols(source: str, tag: str) -> list[Symbol]:
                     place = body + m.start("name")
                     after = close(text, body + m.end() - 1)
                     typed = re.compile(r"\s*(?::[^{;=]+)?\{").match(text, after)
-                    if m["name"] not in NOT_NAMES and typed and text[body + 1 : place].count("{") == text[body + 1 : place].count("}") and place not in found:
+                    if m["name"] not in NOT_METHODS and typed and text[body + 1 : place].count("{") == text[body + 1 : place].count("}") and place not in found:
                         found[place] = (m["name"], "method", body + m.start(), typed.end() - 1, close(text, typed.end() - 1))
     out: list[Symbol] = []
-    ordered = sorted(found.items(), key=lambda x: (x[1][2], x[0]))
-    for at, (name, kind, start, body, end) in ordered:
+    ordered = sorted(found.items(), key=lambda x: (x[1][2], -x[1][4], x[0]))
+    # what holds a definition is open when it starts: one pass with a stack, implementation blocks included
+    scopes = sorted([(start, end, at, kind in CONTAINERS[lang], name) for at, (name, kind, start, _, end) in ordered] + [(a, b, -1, True, f"impl {n.strip()}") for a, b, n in impls], key=lambda x: (x[0], -x[1], x[2]))
+    holder: dict[int, str] = {}
+    open_: list[tuple[int, int, str]] = []
+    for start, end, at, holds, name in scopes:
+        while open_ and open_[-1][1] <= start:
+            open_.pop()
+        if at >= 0:
+            holder[at] = next((n for a, b, n in reversed(open_) if end <= b and (a, b) != (start, end)), None)
+        if holds:
+            open_.append((start, end, name))
+    for place, (at, (name, kind, start, body, end)) in enumerate(ordered):
         sig = squeeze(source[start:body], 10**9).rstrip("{( ").rstrip()
         s = Symbol(name, kind, start, end, line_of(start), line_of(max(start, end - 1)), squeeze(sig, SIGNATURE_MAX), _doc(source, start, DOC_MARKS[lang]))
-        holders = [(b, n) for a2, (n, k, a, _, b) in ordered if a2 != at and a <= start and end <= b and (a, b) != (start, end) and k in CONTAINERS[lang]] + [(b, f"impl {n.strip()}") for a, b, n in impls if a <= start and end <= b]
-        s.container = min(holders)[1] if holders else None
-        inner = [(a, b) for a2, (_, _, a, _, b) in ordered if a2 != at and start < a and b <= end]
-        own = "".join(" " if any(a <= i < b for a, b in inner) else c for i, c in enumerate(text[start:end], start)) if inner else text[start:end]
+        s.container = holder[at]
+        pieces, seen, later = [], start, place + 1
+        while later < len(ordered) and ordered[later][1][2] < end:  # blank the definitions inside this one
+            _, (_, _, a, _, b) = ordered[later]
+            if start < a and seen <= a and b <= end:
+                pieces += [text[seen:a], " " * (b - a)]
+                seen = b
+            later += 1
+        own = "".join([*pieces, text[seen:end]])
         whole = text[start:end]
         s.refs = capped((w for w in re.findall(WORD, whole) if w not in NOT_NAMES), MOST_REFS, name)
         if kind in ("fn", "method", "constructor"):
