@@ -19,13 +19,13 @@ def parser() -> argparse.ArgumentParser:
     verbs = top.add_subparsers(dest="verb", required=True)
     b = verbs.add_parser("build")
     b.add_argument("path", nargs="?", default=".")
-    b.add_argument("--output", default=".rkg/graph.json")
+    b.add_argument("--output", default=".kgraph/graph.json")
     q = verbs.add_parser("query").add_subparsers(dest="ask", required=True)
     for name, more in {"find": ["text"], "neighbors": ["id"], "context": ["id"], "subgraph": ["ids"], "path": ["start", "end"]}.items():
         p = q.add_parser(name)
         for m in more:
             p.add_argument(m, **({"nargs": "+"} if m == "ids" else {}))
-        p.add_argument("--graph", default=".rkg/graph.json")
+        p.add_argument("--graph", default=".kgraph/graph.json")
         p.add_argument("--json", action="store_true")
         if name == "find":
             p.add_argument("--kind")
@@ -36,7 +36,7 @@ def parser() -> argparse.ArgumentParser:
         if name == "context":
             p.add_argument("--budget", type=int, default=2000)
     e = verbs.add_parser("export")
-    e.add_argument("--graph", default=".rkg/graph.json")
+    e.add_argument("--graph", default=".kgraph/graph.json")
     e.add_argument("--edges")
     e.add_argument("--nodes")
     e.add_argument("--edge-kind", action="append")

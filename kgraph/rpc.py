@@ -90,7 +90,7 @@ class Server:
 def main() -> None:
     import sys
 
-    server = Server(SparkSession.builder.appName("kgraph-rpc").getOrCreate(), store=".rkg/graph.json")
+    server = Server(SparkSession.builder.appName("kgraph-rpc").getOrCreate(), store=".kgraph/graph.json")
     for line in sys.stdin:
         if line.strip() and (answer := server.line(line)) is not None:
             print(answer, flush=True)

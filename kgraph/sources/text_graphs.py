@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgraph import model
+from kgraph import model, storage
 from kgraph.functions import text
 from kgraph.operators import export
 
@@ -79,9 +79,8 @@ def parse_sidecar(lines: DataFrame) -> DataFrame:
         optional(12).alias("role"), text.parse_returns(cell(13)).alias("returns"), optional(14).alias("description"),
     )
     last = rows.groupBy("idx").agg(F.max_by(F.struct(*(c for c in rows.columns if c not in ("idx", "line_no"))), "line_no").alias("r")).select("idx", "r.*")
-    top = rows.agg(F.coalesce(F.max("idx"), F.lit(0)).alias("top"))
-    every = top.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))).alias("idx"))
-    full = every.join(last, "idx", "left")
+    top = rows.agg(F.coalesce(F.max("idx"), F.lit(0))).first()[0]
+    full = lines.sparkSession.range(top + 1).withColumnRenamed("id", "idx").join(last, "idx", "left")
     empty = F.array().cast("array<string>")
     fill = {"id": F.lit(""), "name": F.lit(""), "path": F.lit(""), "kind": F.lit(model.UNKNOWN), "locals": empty, "calls": empty}
     return full.withColumns({c: F.coalesce(F.col(c), v) for c, v in fill.items()})
@@ -96,18 +95,18 @@ def parse_exported(edge_lines: DataFrame, sidecar_lines: DataFrame) -> tuple[Dat
 
 def _write_one(lines: DataFrame, order: str, path: str) -> None:
     """Lines in order as a folder of text files; read in the order of their names they are one text."""
-    lines.repartitionByRange(max(1, lines.rdd.getNumPartitions()), order).sortWithinPartitions(order).select("line").write.mode("overwrite").text(path)
+    lines.repartitionByRange(order).sortWithinPartitions(order).select("line").write.mode("overwrite").text(path)
 
 
 def write_edges(nodes: DataFrame, edges: DataFrame, path: str, kinds: list[str] | None = None) -> int:
     """Write the dense edge list with one line of header; the number of edges."""
-    rows = export.edge_lines(nodes, edges, kinds)
+    rows = storage.save(export.edge_lines(nodes, edges, kinds), "edge-lines")
     head = nodes.sparkSession.createDataFrame([(-1, HEADER)], "eidx long, line string")
     _write_one(head.unionByName(rows), "eidx", path)
     return rows.count()
 
 
 def write_sidecar(nodes: DataFrame, path: str) -> int:
-    rows = export.sidecar_lines(nodes)
+    rows = storage.save(export.sidecar_lines(nodes), "sidecar-lines")
     _write_one(rows, "index", path)
     return rows.count()

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,11 +18,18 @@ def scratch_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not (master.startswith("local[") or master == "local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="kgraph-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_dir()
     return base.rstrip("/")
 
 
+@lru_cache(1)
+def _local_dir() -> str:
+    """One temporary folder for this process, removed when it ends."""
+    folder = tempfile.mkdtemp(prefix="kgraph-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back, so that loops don't pile up lineage and a
     lost executor costs no finished round."""

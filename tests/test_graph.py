@@ -1,88 +1,180 @@
-"""Small graphs whose answers are known."""
+"""Graph operators on a graph with ties, self loops and repeated edges, against plain searches."""
+
+import heapq
+import json
+from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from kgraph import model
-from kgraph.operators import export, search, traversal
-from kgraph.sources import graph_json, text_graphs
+from kgraph.functions import numeric
+from kgraph.operators import export, layout, search, traversal
+from kgraph.sources import graph_json, settings, text_graphs
+
+NODES = [
+    ("dir:lib", "dir"), ("file:lib/Alpha.py", "file"), ("file:lib/beta.py", "file"), ("file:lib/gamma.py", "file"), ("doc:notes/alpha.md", "doc"), ("sec:notes/alpha.md#use", "sec"),
+    ("sym:lib/Alpha.py::alpha", "sym"), ("sym:lib/beta.py::run", "sym"), ("file:lonely.py", "file"), ("sym:lib/gamma.py::alphabet", "sym"),
+]
+EDGES = [
+    (0, 1, "contains"), (0, 2, "contains"), (0, 3, "contains"), (1, 2, "imports"), (2, 3, "imports"), (3, 1, "imports"), (1, 6, "defines"), (2, 7, "defines"), (3, 9, "defines"),
+    (6, 7, "calls"), (7, 6, "calls"), (7, 7, "references"), (4, 1, "links"), (4, 1, "links"), (4, 5, "contains"), (9, 6, "references"), (6, 7, "references"),
+]
 
 
 @pytest.fixture(scope="module")
-def chain(spark):
-    ids = ["file:src/a.rs", "file:src/b.rs", "file:src/c.rs", "doc:README.md"]
-    rows = [(i, x, x.split(":")[0], x.split(":")[1], n) for i, (x, n) in enumerate(zip(ids, ["a", "b", "c", "README"]))]
+def graph(spark):
+    rows = [(i, x, kind, x.split(":", 1)[1], x.split("/")[-1].split(":")[-1].split(".")[0]) for i, (x, kind) in enumerate(NODES)]
     nodes = model.as_nodes(spark.createDataFrame(rows, "idx long, id string, kind string, path string, name string"))
-    links = [(0, 0, 1, "imports"), (1, 1, 2, "imports"), (2, 3, 0, "links")]
-    edges = spark.createDataFrame([(i, ids[a], ids[b], k, 1.0) for i, a, b, k in links], "eidx long, src string, dst string, kind string, weight float")
-    return nodes, edges
-
-
-def ids(df, *order):
-    return [r["id"] for r in df.orderBy(*order).collect()]
-
-
-def test_neighbors(chain):
-    n, e = chain
-    assert set(ids(traversal.neighbors(n, e, "file:src/a.rs", 1), "depth", "rank")) == {"file:src/b.rs", "doc:README.md"}
-    assert ids(traversal.neighbors(n, e, "file:src/a.rs", 2), "depth", "rank") == ["file:src/b.rs", "doc:README.md", "file:src/c.rs"]
-    assert ids(traversal.neighbors(n, e, "file:src/a.rs", 1, ["imports"], "out"), "rank") == ["file:src/b.rs"]
-    assert traversal.neighbors(n, e, "nope", 2).count() == 0
-    assert traversal.neighbors(n, e, "file:src/a.rs", 0).count() == 0
-
-
-def test_path(chain):
-    n, e = chain
-    assert traversal.path_between(n, e, "doc:README.md", "file:src/c.rs") == ["doc:README.md", "file:src/a.rs", "file:src/b.rs", "file:src/c.rs"]
-    assert traversal.path_between(n, e, "file:src/a.rs", "file:src/a.rs") == ["file:src/a.rs"]
-    assert traversal.path_between(n, e, "file:src/a.rs", "nope") is None
-
-
-def test_context_pack(chain):
-    n, e = chain
-    rows = traversal.context_pack(n, e, "file:src/b.rs", 1000).orderBy("pos").collect()
-    assert len(rows) == 4 and rows[0]["id"] == "file:src/b.rs" and rows[0]["reason"] == "seed"
-    assert rows[1]["reason"] == "1 hop(s) away via imports"
-    assert [r["id"] for r in traversal.context_pack(n, e, "file:src/b.rs", 1).collect()] == ["file:src/b.rs"]
-    assert traversal.context_pack(n, e, "nope", 10) is None
-
-
-def test_search(chain):
-    n, _ = chain
-    assert ids(search.find_node(n, "A"), "rank", "idx")[0] == "file:src/a.rs"
-    assert search.find_node(n, "").count() == 4
-    assert search.search_matches(n, " ").count() == 0
-
-
-def test_constraints(chain, spark):
-    n, e = chain
-    twice = e.unionByName(e.withColumn("eidx", e["eidx"] + 10))
-    assert model.dedup_edges(twice).count() == 3
-    bad = spark.createDataFrame([(9, "file:src/a.rs", "gone", "links", 1.0)], e.schema)
-    assert model.known_ends(e.unionByName(bad), n).count() == 3
-    assert [(r["src_unknown"], r["dst_unknown"]) for r in model.dangling(e.unionByName(bad), n).collect()] == [(False, True)]
-
-
-def test_export_round_trip(chain, spark, tmp_path):
-    n, e = chain
-    assert [r["line"] for r in export.edge_lines(n, e).orderBy("eidx").collect()] == ["0 1", "1 2", "3 0"]
-    assert text_graphs.write_edges(n, e, str(tmp_path / "g.edges")) == 3
-    assert text_graphs.write_sidecar(n, str(tmp_path / "g.tsv")) == 4
-    nodes, edges = text_graphs.parse_exported(text_graphs.read_lines(spark, str(tmp_path / "g.edges")), text_graphs.read_lines(spark, str(tmp_path / "g.tsv")))
-    assert [r["label"] for r in nodes.orderBy("idx").collect()] == ["a", "b", "c", "README"]
-    assert {(r["src"], r["dst"]) for r in edges.collect()} == {(0, 1), (1, 2), (3, 0)}
-
-
-def test_json_round_trip(chain, spark, tmp_path):
-    n, e = chain
-    graph_json.write(n, e, str(tmp_path / "x" / "graph.json"))
-    nodes, edges = graph_json.read(spark, str(tmp_path / "x" / "graph.json"))
-    assert nodes.orderBy("idx").collect() == n.orderBy("idx").collect()
-    assert edges.orderBy("eidx").collect() == e.orderBy("eidx").collect()
-
-
-def test_bad_lines(spark):
-    with pytest.raises(Exception, match="line 2"):
-        text_graphs.parse_edge_list(text_graphs.lines_of(spark, "a b\nlonely\n"))[1].collect()
+    edges = [(i, NODES[a][0], NODES[b][0], kind, 1.0) for i, (a, b, kind) in enumerate(EDGES)]
+    return nodes, spark.createDataFrame(edges, "eidx long, src string, dst string, kind string, weight float")
+
+
+def hops(start, kinds=None, direction="both"):
+    """Hop count of everything reachable."""
+    seen, todo = {start: 0}, deque([start])
+    while todo:
+        at = todo.popleft()
+        for a, b, kind in EDGES:
+            if kinds is None or kind in kinds:
+                for x, y in ((a, b),) * (direction != "in") + ((b, a),) * (direction != "out"):
+                    if x == at and y not in seen:
+                        seen[y] = seen[at] + 1
+                        todo.append(y)
+    return seen
+
+
+@pytest.mark.parametrize(("seed", "depth", "kinds", "direction"), [(4, 1, None, "both"), (4, 3, None, "both"), (6, 2, ["calls", "references"], "out"), (1, 2, ["imports"], "in"), (8, 5, None, "both"), (0, 0, None, "both")])
+def test_neighbors_by_hops(graph, seed, depth, kinds, direction):
+    got = {r["id"]: r["depth"] for r in traversal.neighbors(*graph, NODES[seed][0], depth, kinds, direction).collect()}
+    assert got == {NODES[i][0]: d for i, d in hops(seed, kinds, direction).items() if 0 < d <= depth}
+
+
+def test_paths_are_shortest(graph):
+    joined = {frozenset((a, b)) for a, b, _ in EDGES}
+    at = {x: i for i, (x, _) in enumerate(NODES)}
+    for a, b in ((4, 9), (5, 7), (8, 8), (2, 2)):
+        path = [at[x] for x in traversal.path_between(*graph, NODES[a][0], NODES[b][0])]
+        assert path[0] == a and path[-1] == b and len(path) == hops(a)[b] + 1 and all(frozenset(p) in joined for p in zip(path, path[1:]))
+    assert traversal.path_between(*graph, NODES[0][0], NODES[8][0]) is None
+    assert traversal.path_between(*graph, "file:none", NODES[0][0]) is None and traversal.path_between(*graph, NODES[0][0], "file:none") is None
+
+
+def least_costs(seed):
+    dear = {k: c for k, c in model.EDGE_COSTS.items()}
+    done, heap = {}, [(0, 0, NODES[seed][0], seed)]
+    while heap:
+        cost, hop, _, at = heapq.heappop(heap)
+        if at in done:
+            continue
+        done[at] = (cost, hop)
+        for a, b, kind in EDGES:
+            for x, y in ((a, b), (b, a)):
+                if x == at and y not in done:
+                    heapq.heappush(heap, (cost + dear.get(kind, 1), hop + 1, NODES[y][0], y))
+    return done
+
+
+def test_costs_and_pack(graph):
+    nodes, edges = graph
+    costs = least_costs(4)
+    assert {r["id"]: r["cost"] for r in traversal.distances(nodes, edges, NODES[4][0]).collect()} == {NODES[i][0]: c for i, (c, _) in costs.items()}
+    size = {r["id"]: r["n"] for r in nodes.select("id", model.estimate_tokens().alias("n")).collect()}
+    for budget in (1, sum(size.values()) // 3, sum(size.values()) // 2, 10**6):
+        got = traversal.context_pack(nodes, edges, NODES[4][0], budget).orderBy("pos").collect()
+        total, want = 0, []
+        order = {r["id"]: (r["cost"], r["hop"], r["id"]) for r in traversal.distances(nodes, edges, NODES[4][0]).collect()}
+        for x in sorted(order, key=order.get):
+            if x == NODES[4][0] or total + size[x] <= budget:
+                want.append(x)
+                total += size[x]
+        assert [r["id"] for r in got] == want and got[0]["reason"] == "seed" and all(r["reason"].startswith(f"{r['distance']} hop(s) away via ") for r in got[1:])
+    assert traversal.context_pack(nodes, edges, "file:none", 10) is None
+
+
+def test_search_prefers_exact_then_prefix(graph):
+    nodes, _ = graph
+    got = [r["id"] for r in search.find_node(nodes, "ALPHA").orderBy("rank", "idx").collect()]
+    assert set(got) == {x for x, _ in NODES if "alpha" in x.lower()} and got.index("sym:lib/Alpha.py::alpha") < got.index("sym:lib/gamma.py::alphabet")
+    assert search.find_node(nodes, "").count() == len(NODES) and search.search_matches(nodes, "  ").count() == 0
+
+
+def test_first_edge_wins_and_ends_must_exist(graph, spark):
+    nodes, edges = graph
+    assert sorted(r["eidx"] for r in model.dedup_edges(edges).collect()) == [i for i, e in enumerate(EDGES) if e not in EDGES[:i]]
+    odd = edges.unionByName(spark.createDataFrame([(90, "file:none", NODES[0][0], "links", 1.0), (91, "x", "y", "links", 1.0)], edges.schema))
+    assert model.known_ends(odd, nodes).count() == len(EDGES)
+    assert {r["eidx"]: (r["src_unknown"], r["dst_unknown"]) for r in model.dangling(odd, nodes).collect()} == {90: (True, False), 91: (True, True)}
+
+
+def test_text_round_trip(graph, spark, tmp_path):
+    nodes, edges = graph
+    assert text_graphs.write_edges(nodes, edges, str(tmp_path / "edges")) == len(EDGES) and text_graphs.write_sidecar(nodes, str(tmp_path / "side")) == len(NODES)
+    back, links = text_graphs.parse_exported(text_graphs.read_lines(spark, str(tmp_path / "edges")), text_graphs.read_lines(spark, str(tmp_path / "side")))
+    assert [r["id"] for r in back.orderBy("idx").collect()] == [x for x, _ in NODES]
+    assert sorted((r["src"], r["dst"]) for r in links.collect()) == sorted((a, b) for a, b, _ in EDGES)
+    assert [r["line"] for r in export.edge_lines(nodes, edges, ["links"]).collect()] == ["4 1", "4 1"]
+
+
+def test_json_round_trip(graph, spark, tmp_path):
+    nodes, edges = graph
+    graph_json.write(nodes, edges, str(tmp_path / "deep" / "graph.json"))
+    again = graph_json.read(spark, str(tmp_path / "deep" / "graph.json"))
+    for got, want, key in zip(again, graph, ("idx", "eidx")):
+        assert got.orderBy(key).collect() == want.orderBy(key).collect()
+
+
+def test_odd_text(spark):
+    with pytest.raises(Exception, match="line 3"):
+        text_graphs.parse_edge_list(text_graphs.lines_of(spark, "# top\nx y\nalone\n"))[1].collect()
     with pytest.raises(Exception, match="out of range"):
-        text_graphs.parse_indexed_edges(text_graphs.lines_of(spark, "0 7\n"), 3).collect()
-    assert [r["kind"] for r in text_graphs.parse_sidecar(text_graphs.lines_of(spark, "")).collect()] == ["?"]
+        text_graphs.parse_indexed_edges(text_graphs.lines_of(spark, "2 4\n"), 4).collect()
+    gaps = text_graphs.parse_sidecar(text_graphs.lines_of(spark, "4\tfile:q\tq\tfile\tq\n")).orderBy("idx").collect()
+    assert [r["kind"] for r in gaps] == ["?"] * 4 + ["file"]
+
+
+def test_tree_walk_is_the_plain_one(spark):
+    """The opening rule at 0.5, against a walk over a tree built body by body."""
+    points = [(i, float(i * 37 % 101), float(i * 59 % 97), float(i * 83 % 89)) for i in range(60)] + [(60, 5.0, 5.0, 5.0), (61, 5.0, 5.0, 5.0)]
+    df = spark.createDataFrame(points, "idx long, x double, y double, z double")
+    code = {r["idx"]: r["code"] for r in layout.coded(df).collect()}
+    half = layout.bounding_cube(df).first()["half"]
+
+    def force(i, level, members):
+        own = points[i]
+        centre = [sum(points[m][a] for m in members) / len(members) for a in (1, 2, 3)]
+        d = [own[a] - c for a, c in zip((1, 2, 3), centre)]
+        square = sum(v * v for v in d)
+        leaf = len({code[m] for m in members}) == 1
+        if leaf or square > 0 and (2 * half / 2**level) ** 2 < 0.25 * square:
+            return [0.0] * 3 if square == 0 or members == [i] else [v * len(members) * 49.0 / square for v in d]
+        children = {}
+        for m in members:
+            children.setdefault(code[m] >> 3 * (numeric.MORTON_BITS - level - 1), []).append(m)
+        return [sum(v) for v in zip(*(force(i, level + 1, c) for c in children.values()))]
+
+    got = {r["idx"]: (r["fx"], r["fy"], r["fz"]) for r in layout.tree_repulsion(df, 7.0, 0.5).collect()}
+    for i in range(len(points)):
+        assert got.get(i, (0.0, 0.0, 0.0)) == pytest.approx(force(i, 0, list(range(len(points)))), abs=1e-9)
+
+
+def test_settings(tmp_path):
+    path = tmp_path / "settings.json"
+    path.write_text('{"speed": 7, "threeD": false, "background": [1, 2, 3], "mine": {"a": 1}}')
+    got = settings.load(str(path))
+    assert got == settings.Settings(speed=7.0, three_d=False, background=(1, 2, 3))
+    settings.save(str(path), settings.Settings(speed=9.0, layout="cpu"))
+    raw = json.loads(path.read_text())
+    assert raw["mine"] == {"a": 1} and raw["background"] == [1, 2, 3] and raw["speed"] == 9.0 and "layout" not in raw
+    assert settings.load(None, str(tmp_path / "none.json")) == settings.Settings()
+    with pytest.raises(FileNotFoundError):
+        settings.load(str(tmp_path / "none.json"))
+    for bad in ("[]", '{"speed": "fast"}'):
+        with pytest.raises(ValueError):
+            settings.parse(bad)
+
+
+def test_kinds_filter_reaches_nothing_for_an_empty_list(graph):
+    _, edges = graph
+    assert model.of_kinds(edges, []).count() == 0 and model.of_kinds(edges, None).count() == len(EDGES)
+    assert model.of_kinds(edges, ["links"]).agg(F.count("*")).first()[0] == 2
