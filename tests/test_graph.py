@@ -7,7 +7,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
-from kgraph import model
+from kgraph import model, sql
 from kgraph.functions import numeric
 from kgraph.operators import export, layout, search, traversal
 from kgraph.sources import graph_json, settings, text_graphs
@@ -178,3 +178,9 @@ def test_kinds_filter_reaches_nothing_for_an_empty_list(graph):
     _, edges = graph
     assert model.of_kinds(edges, []).count() == 0 and model.of_kinds(edges, None).count() == len(EDGES)
     assert model.of_kinds(edges, ["links"]).agg(F.count("*")).first()[0] == 2
+
+
+def test_spark_sql_sees_the_graph(graph, spark):
+    sql.register(*graph, prefix="t_")
+    got = spark.sql("SELECT n.kind, count(*) AS c FROM t_edges e JOIN t_nodes n ON n.id = e.dst WHERE e.kind = 'links' GROUP BY 1").collect()
+    assert [tuple(r) for r in got] == [("file", 2)]
