@@ -46,22 +46,20 @@ _BUILT: dict[tuple, DataFrame] = {}
 
 
 def _stored(spark: SparkSession, sf_dir: str, part: str, build) -> DataFrame:
-    made = build(spark, sf_dir)
-    files = made.select(F.col("id" if part == "nodes" else "src")).inputFiles()
-    key = (spark.sparkContext.applicationId, part, _stamps(spark, files))
+    key = (spark.sparkContext.applicationId, part, sf_dir, _stamps(spark, sf_dir))
     if key not in _BUILT:
-        _BUILT[key] = storage.save(made, f"tgraph-{part}")
+        _BUILT[key] = storage.save(build(spark, sf_dir), f"tgraph-{part}")
     return _BUILT[key]
 
 
-def _stamps(spark: SparkSession, files: list[str]) -> tuple:
-    """Names, sizes and times of files: they tell whether tables have changed."""
+def _stamps(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the files of all tables in a folder: they tell whether tables have changed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/*.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = []
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for name in sorted(files):
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        status = path.getFileSystem(hadoop).getFileStatus(path)
-        found.append((name, status.getLen(), status.getModificationTime()))
+    for top in fs.globStatus(path) or []:
+        for f in fs.listStatus(top.getPath()):
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
     return tuple(found)
 
 
