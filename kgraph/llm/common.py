@@ -22,6 +22,7 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 ROWS_PER_BUCKET = 500_000
 BROADCAST_ROWS = 100_000
 MOST_TASKS = 20_000
+BATCH_BYTES = 4 << 20
 NULL_KEY = b""
 
 
@@ -65,6 +66,15 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in Arrow batches of about BATCH_BYTES: what a batch takes, several times over
+    on both sides, then doesn't depend on how long texts are (a text above it is a batch alone). The limit stays
+    set for the session, as batches are made when a result is read; one that the session has itself is kept.
+    No result depends on it."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def cuts(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(key, start, end) of each run of equal keys in a sorted array: only keys that are there, however
     many others there might be."""
@@ -141,6 +151,7 @@ def dense_rank_in(df: DataFrame, group: list[str], order: list[str], rows: int,
 def scan_rows(df: DataFrame, columns: list[Column]) -> DataFrame:
     """Rows with their place in a file: (file, row, *columns). A DataFrame that isn't a scan of Parquet
     files is written to the scratch folder first."""
+    bound_batches(df.sparkSession)
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
     return as_scan(df).select(*place, *columns)
 

@@ -246,6 +246,7 @@ def find_leaks(
 
         return texts.mapInArrow(run, schema)
 
+    common.bound_batches(docs.sparkSession)
     out = None
     for items in _item_groups(benchmark, item_col, item_text_col, at_once):
         part = searched(items)
@@ -265,6 +266,7 @@ def drop_leaking(
     kept = docs.toDF(*(f"c{i}" for i in range(len(names))))
     column = f"c{names.index(text_col)}"
     schema = kept.schema
+    common.bound_batches(docs.sparkSession)
     for items in _item_groups(benchmark, item_col, item_text_col, at_once):
         sent = docs.sparkSession.sparkContext.broadcast(Items(items, size, least))
 

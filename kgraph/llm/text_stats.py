@@ -60,6 +60,7 @@ def count_text(text: str | None, hash_of: WordHashes) -> tuple[int, ...]:
 def with_stats(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """The columns of df named by ``keep`` (all, if None), then a struct ``stats`` of the counts. One scan,
     no shuffle. Names may clash with anything but ``stats``."""
+    common.bound_batches(df.sparkSession)
     keep = tuple(df.columns) if keep is None else keep
     fields = [T.StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(keep)]
     schema = T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in COUNTS)])
