@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -58,12 +59,24 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Gives what is free back to the system. Python workers are used again by later tasks, and the allocators
+    of Arrow and C would keep the most that any task took so far."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of ``rows`` at most, without copies: long texts become Python objects a few
-    at a time, whatever the session's batch size is."""
+    at a time, whatever the session's batch size is. Memory is released before the first and after each one."""
+    release_memory()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+        release_memory()
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -414,7 +414,10 @@ def similar_links(prints: DataFrame, count: int, lanes: int, most_bits: int) ->
         own, rows = np.concatenate(own), np.concatenate(rows)
         k, part = divmod(table["range"][0].as_py(), parts)
         a, b = verified_forest(*lane_keys(rows[:, k], part, parts), rows, most_bits)
-        return pa.table({"a": own[a], "b": own[b]})
+        found = pa.table({"a": own[a], "b": own[b]})
+        del own, rows
+        common.release_memory()
+        return found
 
     keyed = prints.select("fp", "lanes").mapInArrow(spread_prints, "range int, blob binary")
     met = common.dealt(keyed, lanes * parts).groupBy("range").applyInArrow(join, "a long, b long")
