@@ -20,6 +20,8 @@ AREA_MULTIPLIER = 500.0
 SPEED_DIVISOR = 400.0
 BLOCK = 2048
 BROADCAST_CELLS = 4096
+BROADCAST_PLACES = 100_000
+MOST_BLOCKS = 32
 LEVELS = numeric.MORTON_BITS
 # Colours of kinds.
 COLORS = {"dir": (0.55, 0.55, 0.60), "file": (0.30, 0.65, 1.00), "doc": (0.35, 0.80, 0.45), "sec": (0.55, 0.85, 0.55), "sym": (1.00, 0.70, 0.25), "?": (0.80, 0.80, 0.80)}
@@ -87,35 +89,62 @@ def colorize(nodes: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def exact_repulsion(nodes: DataFrame, k: float, three_d: bool, block: int = BLOCK) -> DataFrame:
-    """(idx, fx, fy, fz): k*k/d away from every other node. Positions are packed into blocks, every pair
-    of blocks is one row, and a pair's forces are summed in arrays; no pair of nodes is ever a row, and no
-    task holds more than two blocks."""
-    blocks = max(1, -(-nodes.count() // block))
+    """(idx, fx, fy, fz): k*k/d away from every other node. Nodes of one place get one force and add up to one
+    weight, so a place stands for all its nodes, exactly: at distance 0 there is no force. Places are packed into
+    blocks, every unordered pair of blocks is one row that gives the forces both ways, and a pair's forces are
+    summed in arrays; no pair of nodes is ever a row, and no task needs more than a few pairs of blocks. Blocks
+    hold ``block`` places, or more where there would be over ``MOST_BLOCKS``, which bounds tasks and copies."""
+    place = ("_x", "_y", "_z")
+    axes = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) if three_d or c != "z" else F.lit(0.0) for c in "xyz"]
+    keyed = nodes.select("idx", *(v.alias(c) for c, v in zip(place, axes)))
+    spots = storage.save(keyed.groupBy(*place).agg(F.count("*").alias("n")), "places")
+    count = spots.count()
+    blocks = max(1, -(-count // max(block, -(-count // MOST_BLOCKS))))
 
     def pack(table: pa.Table) -> pa.Table:
-        rows = np.stack([table[c].to_numpy() for c in ("idx", "x", "y", "z")], 1)
+        rows = np.stack([table[c].to_numpy() for c in (*place, "n")], 1)
         return pa.table({"b": [table["b"][0].as_py()], "rows": [rows.astype(np.float64).tobytes()]})
 
-    packed = storage.save(nodes.select("idx", "x", "y", "z", F.pmod(F.xxhash64("idx"), F.lit(blocks)).alias("b")).groupBy("b").applyInArrow(pack, "b long, rows binary"), "blocks")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    pairs = packed.select(F.col("rows").alias("own"), other.alias("b")).join(packed, "b").select("own", "rows")
-    pairs = pairs.repartition(max(1, min(blocks * blocks, 4096)))
+    packed = storage.save(spots.withColumn("b", F.pmod(F.xxhash64(*place), F.lit(blocks)).cast("long")).groupBy("b").applyInArrow(pack, "b long, rows binary"), "blocks")
+    own = packed.select(F.col("b").alias("_own"), F.col("rows").alias("own"), F.explode(F.sequence("b", F.lit(blocks - 1).cast("long"))).alias("b"))
+    pairs = own.join(packed, "b").select((F.col("_own") == F.col("b")).alias("same"), "own", "rows").repartition(blocks * (blocks + 1) // 2)
 
     def force(batches):
         for batch in batches:
-            for own, others in zip(*(c.to_pylist() for c in batch.columns)):
-                a, b = (np.frombuffer(v, np.float64).reshape(-1, 4) for v in (own, others))
-                total = np.zeros((len(a), 3))
-                for at in range(0, len(a), 256):
-                    d = a[at : at + 256, None, 1:] - b[None, :, 1:]
-                    if not three_d:
-                        d[:, :, 2] = 0.0
-                    square = (d * d).sum(2)
-                    square[(square == 0) | (a[at : at + 256, None, 0] == b[None, :, 0])] = np.inf
-                    total[at : at + 256] = (d * (k * k / square)[:, :, None]).sum(1)
-                yield pa.RecordBatch.from_arrays([pa.array(a[:, 0].astype(np.int64)), *(pa.array(total[:, i]) for i in range(3))], names=["idx", "fx", "fy", "fz"])
-
-    return pairs.mapInArrow(force, "idx long, fx double, fy double, fz double").groupBy("idx").agg(*(F.sum(c).alias(c) for c in ("fx", "fy", "fz")))
+            for same, own, others in zip(*batch.columns):
+                a, b = (np.frombuffer(v.as_buffer(), np.float64).reshape(-1, 4) for v in (own, others))
+                for rows, total in zip((a,) if same.as_py() else (a, b), _repel(a, b)):
+                    yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, i]) for i in range(3)), pa.array(rows[:, 3].astype(np.int64)), *(pa.array(v * (k * k)) for v in total)], names=[*place, "n", "fx", "fy", "fz"])
+
+    parts = pairs.mapInArrow(force, "_x double, _y double, _z double, n long, fx double, fy double, fz double")
+    forces = storage.save(parts.groupBy(*place).agg(F.first("n").alias("n"), *(F.sum(c).alias(c) for c in ("fx", "fy", "fz"))), "forces")
+    out = ("idx", "fx", "fy", "fz")
+    if count <= BROADCAST_PLACES:
+        return keyed.join(F.broadcast(forces), [*place]).select(*out)
+    crowded = forces.filter(F.col("n") > F.lit(nodes.count() / 1000))  # under a thousand places
+    found = keyed.join(F.broadcast(crowded), [*place], "left")
+    return found.filter("n is not null").select(*out).union(found.filter("n is null").select("idx", *place).join(forces, [*place]).select(*out))
+
+
+def _repel(a: np.ndarray, b: np.ndarray, rows: int = 64, width: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of difference over square distance, times weight, for places of a away from those of b and the other way; (3, n) each.
+    Places are (x, y, z, weight). Tiles are small enough for a core's cache."""
+    (ax, ay, az, aw), (bx, by, bz, bw) = (np.ascontiguousarray(v.T) for v in (a, b))
+    of_a, of_b = np.zeros((3, len(a))), np.zeros((3, len(b)))
+    for i in range(0, len(a), rows):
+        for j in range(0, len(b), width):
+            u, v = slice(i, i + rows), slice(j, j + width)
+            away = [p[u, None] - q[None, v] for p, q in ((ax, bx), (ay, by), (az, bz))]
+            square = away[0] * away[0]
+            for d in away[1:]:
+                square += d * d
+            square[square == 0] = np.inf
+            np.divide(1.0, square, out=square)
+            for axis, d in enumerate(away):
+                d *= square
+                of_a[axis, u] += d @ bw[v]
+                of_b[axis, v] -= aw[u] @ d
+    return of_a, of_b
 
 
 def attraction(nodes: DataFrame, edges: DataFrame, k: float, three_d: bool) -> DataFrame:

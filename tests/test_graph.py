@@ -2,7 +2,7 @@
 
 import heapq
 import json
-from collections import deque
+from collections import Counter, deque
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,6 +157,58 @@ def test_tree_walk_is_the_plain_one(spark):
     for i in range(len(points)):
         assert got.get(i, (0.0, 0.0, 0.0)) == pytest.approx(force(i, 0, list(range(len(points)))), abs=1e-9)
 
+def most_tasks(spark, name, f):
+    """f() and the most tasks that a stage of its jobs has."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        out, tracker = f(), spark.sparkContext.statusTracker()
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(j).stageIds]
+        return out, max(s.numTasks for s in stages if s is not None)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def crowd(n):
+    """n nodes at 12 places, in turn."""
+    return [(i, float(i % 12 * 7 % 12), float(i % 12 * i % 12 % 5), float(i % 12 // 6)) for i in range(n)]
+
+
+def plain_forces(points, k, three_d=True):
+    out = {}
+    for i, *p in points:
+        total = [0.0, 0.0, 0.0]
+        for j, *q in points:
+            d = [a - b if axis < 2 or three_d else 0.0 for axis, (a, b) in enumerate(zip(p, q))]
+            square = sum(v * v for v in d)
+            if i != j and square > 0:
+                total = [t + v * k * k / square for t, v in zip(total, d)]
+        out[i] = tuple(total)
+    return out
+
+
+def test_exact_step_of_a_crowd(spark):
+    points, edges, params = crowd(2 * layout.BLOCK * 4 + 5), [(0, 0, 1), (1, 1, 30), (2, 5, 5)], layout.Params(three_d=True)
+    df, links = spark.createDataFrame(points, "idx long, x double, y double, z double"), spark.createDataFrame(edges, "eidx long, src long, dst long")
+    got, tasks = most_tasks(spark, "exact step", lambda: {r["idx"]: (r["x"], r["y"], r["z"]) for r in layout.exact_step(df, links, params).collect()})
+    assert tasks < 64  # nine blocks of nodes, in all pairs, were 81 tasks; twelve places are one block
+    k, at, times = params.k(len(points)), {i: p for i, *p in points}, Counter(tuple(p) for _, *p in points)
+    for i in (0, 1, 5, 30, 77, len(points) - 1):
+        force = [0.0, 0.0, 0.0]
+        for q, n in times.items():
+            d = [a - b for a, b in zip(at[i], q)]
+            if any(d):
+                force = [f + n * v * k * k / sum(w * w for w in d) for f, v in zip(force, d)]
+        for _, a, b in edges:
+            for u, v in ((a, b), (b, a)):
+                if u == i and u != v:
+                    d = [p - q for p, q in zip(at[u], at[v])]
+                    force = [f - w * sum(x * x for x in d) ** 0.5 / k for f, w in zip(force, d)]
+        move = [(f - 0.01 * k * p) * params.speed_scale() for f, p in zip(force, at[i])]
+        length = sum(v * v for v in move) ** 0.5
+        cut = min(params.max_displace() * params.speed_scale(), length) / length if length else 0.0
+        assert got[i] == pytest.approx(tuple(p + v * cut for p, v in zip(at[i], move)), abs=1e-9)
+    assert len(got) == len(points)
+
 
 def test_settings(tmp_path):
     path = tmp_path / "settings.json"
