@@ -53,10 +53,12 @@ def separation(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column
 
 
 def point_segment_distance(px, py, ax, ay, bx, by) -> Column:
-    """Distance of a point from a segment in a plane; from its point where it has no length."""
+    """Distance of a point from a segment in a plane; from its point where it has no length. Taken from the start
+    of the segment, the shift along it is subtracted last, as in SQL: adding it to the start first rounds otherwise,
+    and near 0 that decides between segments."""
     length2 = (bx - ax) * (bx - ax) + (by - ay) * (by - ay)
     t = F.when(length2 > 0, F.least(F.greatest(((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / length2, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
-    x, y = px - (ax + t * (bx - ax)), py - (ay + t * (by - ay))
+    x, y = px - ax - t * (bx - ax), py - ay - t * (by - ay)
     return F.sqrt(x * x + y * y)
 
 

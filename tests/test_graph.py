@@ -2,8 +2,10 @@
 
 import heapq
 import json
+import random
 from collections import Counter, deque
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,6 +211,21 @@ def test_exact_step_of_a_crowd(spark):
         assert got[i] == pytest.approx(tuple(p + v * cut for p, v in zip(at[i], move)), abs=1e-9)
     assert len(got) == len(points)
 
+def test_segment_distance_rounds_as_sql(spark):
+    """Segments through the cursor are at distances of a rounding error or none, which decide between them: equal to the last bit."""
+    draw = random.Random(5)
+    rows = []
+    for i in range(200):
+        dx, dy, far, near = draw.uniform(-500, 500), draw.uniform(-500, 500), draw.uniform(0.1, 1), draw.uniform(0.1, 1)
+        rows.append((i, 600 - far * dx, 400 - far * dy, 600 + near * dx, 400 + near * dy))
+    df = spark.createDataFrame(rows, "i long, ax double, ay double, bx double, by double")
+    away = numeric.point_segment_distance(F.lit(600.0), F.lit(400.0), *(F.col(c) for c in ("ax", "ay", "bx", "by")))
+    got = {r["i"]: r["away"] for r in df.select("i", away.alias("away")).collect()}
+    table = ", ".join(f"({i}, {', '.join(f'{v!r}::DOUBLE' for v in r)})" for i, *r in rows)
+    want = duckdb.connect().execute(f"""SELECT i, sqrt((600 - ax - t * (bx - ax)) ** 2 + (400 - ay - t * (by_ - ay)) ** 2) FROM (SELECT *, least(greatest(((600 - ax) * (bx - ax) + (400 - ay) * (by_ - ay))
+      / ((bx - ax) ** 2 + (by_ - ay) ** 2), 0), 1) AS t FROM (VALUES {table}) AS s(i, ax, ay, bx, by_))""").fetchall()
+    assert got == dict(want)
+
 
 def test_settings(tmp_path):
     path = tmp_path / "settings.json"
