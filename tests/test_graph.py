@@ -211,6 +211,24 @@ def test_exact_step_of_a_crowd(spark):
         assert got[i] == pytest.approx(tuple(p + v * cut for p, v in zip(at[i], move)), abs=1e-9)
     assert len(got) == len(points)
 
+def test_headless_run_of_a_crowd(spark):
+    points = crowd(2 * layout.BLOCK * 4 + 5)
+    df, links = spark.createDataFrame(points, "idx long, x double, y double, z double"), spark.createDataFrame([(0, 1, 30)], "eidx long, src long, dst long")
+    (moved, report), tasks = most_tasks(spark, "headless run", lambda: layout.run(df, links, layout.Params(three_d=True), "cpu", 1))
+    assert tasks < 64 and moved.count() == len(points) and report.first()["node_count"] == len(points)
+
+@pytest.mark.parametrize("three_d", [True, False])
+@pytest.mark.parametrize("broadcast", [layout.BROADCAST_PLACES, 0])
+def test_exact_repulsion_of_a_crowd(spark, monkeypatch, three_d, broadcast):
+    monkeypatch.setattr(layout, "BROADCAST_PLACES", broadcast)  # 0: the way of many places, with all of these crowded or, at a crowd of one, not
+    points = [*crowd(150), (150, -0.0, 0.0, 0.0), (151, 3.25, -7.5, 1e-3), (152, 3.25, -7.5, 2.0)]
+    df = spark.createDataFrame(points, "idx long, x double, y double, z double")
+    got, tasks = most_tasks(spark, f"repulsion {three_d} {broadcast}", lambda: {r["idx"]: (r["fx"], r["fy"], r["fz"]) for r in layout.exact_repulsion(df, 7.0, three_d, 4).collect()})
+    want = plain_forces(points, 7.0, three_d)
+    assert tasks < 64 and set(got) == set(want)  # 39 blocks of four nodes were 1521 tasks
+    for i, force in want.items():
+        assert got[i] == pytest.approx(force, abs=1e-9)
+
 def test_segment_distance_rounds_as_sql(spark):
     """Segments through the cursor are at distances of a rounding error or none, which decide between them: equal to the last bit."""
     draw = random.Random(5)
