@@ -229,6 +229,19 @@ def test_exact_repulsion_of_a_crowd(spark, monkeypatch, three_d, broadcast):
     for i, force in want.items():
         assert got[i] == pytest.approx(force, abs=1e-9)
 
+def test_all_pairs_in_bounded_blocks(spark, monkeypatch):
+    """Places apart, in blocks of one node: pairs of blocks don't grow with the square of their count. No place here is crowded."""
+    monkeypatch.setattr(layout, "BROADCAST_PLACES", 0)
+    draw = random.Random(4)
+    points = [(i, *(draw.uniform(-9, 9) for _ in range(3))) for i in range(1100)]
+    df = spark.createDataFrame(points, "idx long, x double, y double, z double")
+    got, tasks = most_tasks(spark, "all pairs", lambda: {r["idx"]: (r["fx"], r["fy"], r["fz"]) for r in layout.exact_repulsion(df, 7.0, True, 1).collect()})
+    assert tasks <= layout.MOST_BLOCKS * (layout.MOST_BLOCKS + 1) // 2 and len(got) == len(points)  # were 4096
+    want = plain_forces(points, 7.0)
+    for i, force in want.items():
+        assert got[i] == pytest.approx(force, rel=1e-9, abs=1e-7)
+
+
 def test_segment_distance_rounds_as_sql(spark):
     """Segments through the cursor are at distances of a rounding error or none, which decide between them: equal to the last bit."""
     draw = random.Random(5)
