@@ -159,6 +159,7 @@ def test_tree_walk_is_the_plain_one(spark):
     for i in range(len(points)):
         assert got.get(i, (0.0, 0.0, 0.0)) == pytest.approx(force(i, 0, list(range(len(points)))), abs=1e-9)
 
+
 def most_tasks(spark, name, f):
     """f() and the most tasks that a stage of its jobs has."""
     spark.sparkContext.setJobGroup(name, name)
@@ -211,12 +212,14 @@ def test_exact_step_of_a_crowd(spark):
         assert got[i] == pytest.approx(tuple(p + v * cut for p, v in zip(at[i], move)), abs=1e-9)
     assert len(got) == len(points)
 
+
 def test_headless_run_of_a_crowd(spark):
     points = crowd(2 * layout.BLOCK * 4 + 5)
     df, links = spark.createDataFrame(points, "idx long, x double, y double, z double"), spark.createDataFrame([(0, 1, 30)], "eidx long, src long, dst long")
     (moved, report), tasks = most_tasks(spark, "headless run", lambda: layout.run(df, links, layout.Params(three_d=True), "cpu", 1))
     assert tasks < 64 and moved.count() == len(points) and report.first()["node_count"] == len(points)
 
+
 @pytest.mark.parametrize("three_d", [True, False])
 @pytest.mark.parametrize("broadcast", [layout.BROADCAST_PLACES, 0])
 def test_exact_repulsion_of_a_crowd(spark, monkeypatch, three_d, broadcast):
@@ -229,6 +232,7 @@ def test_exact_repulsion_of_a_crowd(spark, monkeypatch, three_d, broadcast):
     for i, force in want.items():
         assert got[i] == pytest.approx(force, abs=1e-9)
 
+
 def test_all_pairs_in_bounded_blocks(spark, monkeypatch):
     """Places apart, in blocks of one node: pairs of blocks don't grow with the square of their count. No place here is crowded."""
     monkeypatch.setattr(layout, "BROADCAST_PLACES", 0)
