@@ -281,6 +281,7 @@ def mean_edge_length(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def run(nodes: DataFrame, edges: DataFrame, params: Params, choice: str, steps: int) -> tuple[DataFrame, DataFrame]:
     """Run steps and report: (nodes, one row of layout, counts, steps, seconds, bounds, mean edge, k)."""
     name = parse_choice(choice)
+    edges = storage.save(edges.select("src", "dst"), "links")  # every step and the report read them
     began = time.monotonic()
     for i in range(steps):
         nodes = storage.save(STEPS[name](nodes, edges, params), f"step-{i}")

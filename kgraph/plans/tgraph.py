@@ -72,11 +72,14 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.as_nodes(model.dense_index(_node_rows(spark, sf_dir), ["kind", "path"], "idx"))
+    rows = storage.save(_node_rows(spark, sf_dir), "tgraph-node-rows")  # numbering counts them first
+    return model.as_nodes(model.dense_index(rows, ["kind", "path"], "idx"))
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = _node_rows(spark, sf_dir).select("kind", "path", "id")
+    """From the stored nodes, and numbered once written: plans over the tables' unions and joins, made anew for
+    every reference and every count, are what fills the driver's memory, whatever the tables' size."""
+    ids = nodes(spark, sf_dir).select("kind", "path", "id")
     customer, part = _read(spark, sf_dir, "customer"), _read(spark, sf_dir, "part")
     first = _read(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_partkey", "l_suppkey")
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -103,7 +106,7 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = inside
     for e in (sections, imports, defines, refs, links, calls):
         out = out.unionByName(e)
-    out = model.known_ends(out, ids).withColumn("weight", F.lit(1.0).cast("float"))
+    out = storage.save(model.known_ends(storage.save(out, "tgraph-edge-rows"), ids), "tgraph-known-ends").withColumn("weight", F.lit(1.0).cast("float"))
     return model.dense_index(out, ["kind", "src", "dst"], "eidx").select("eidx", "src", "dst", "kind", "weight")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from kgraph import model, sql
 from kgraph.functions import numeric
 from kgraph.operators import export, layout, search, traversal
+from kgraph.plans import tgraph
 from kgraph.sources import graph_json, settings, text_graphs
 
 NODES = [
@@ -220,6 +221,30 @@ def test_headless_run_of_a_crowd(spark):
     assert tasks < 64 and moved.count() == len(points) and report.first()["node_count"] == len(points)
 
 
+def test_headless_run_takes_edges_once(spark):
+    """A step and its report read the edges in several places; a plan that makes them must not be run for each."""
+    nodes, read = spark.createDataFrame(crowd(40), "idx long, x double, y double, z double"), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    links = spark.createDataFrame([(i, i, i + 1) for i in range(39)], "eidx long, src long, dst long").mapInPandas(counted, "eidx long, src long, dst long")
+    report = layout.run(nodes, links, layout.Params(three_d=True), "cpu", 2)[1].first()
+    assert (report["edge_count"], report["steps"]) == (39, 2) and read.value == 39  # were 234
+
+
+def test_graph_tables_make_node_rows_once(spark, monkeypatch):
+    """Edges are derived from the stored nodes, not from the tables' unions and joins again."""
+    made, rows = [], tgraph._node_rows
+    monkeypatch.setattr(tgraph, "_BUILT", {})
+    monkeypatch.setattr(tgraph, "_node_rows", lambda *a: made.append(a) or rows(*a))
+    nodes, edges = (f(spark, "/root/testdata/sf0.001") for f in (tgraph.nodes, tgraph.edges))
+    assert len(made) == 1  # were two
+    assert model.dangling(edges, nodes).isEmpty() and edges.agg(F.max("eidx") + 1).first()[0] == edges.count() > 0
+
+
 @pytest.mark.parametrize("three_d", [True, False])
 @pytest.mark.parametrize("broadcast", [layout.BROADCAST_PLACES, 0])
 def test_exact_repulsion_of_a_crowd(spark, monkeypatch, three_d, broadcast):
