@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kgraph.functions import numeric
 from kgraph.operators import export, layout, viewer
 from kgraph.plans import tgraph
-from kgraph.plans.registry import graph, over_graph, query
+from kgraph.plans.registry import graph, nodes_alone, over_graph, query
 
 SEEDED = """pos AS MATERIALIZED (SELECT idx, kind, name, ((idx * 37) % 2001 - 1000)::DOUBLE AS x, ((idx * 911) % 2001 - 1000)::DOUBLE AS y, ((idx * 577) % 2001 - 1000)::DOUBLE AS z FROM nodes),
 d AS MATERIALIZED (SELECT eidx, a.idx AS src, b.idx AS dst FROM edges JOIN nodes a ON a.id = edges.src JOIN nodes b ON b.id = edges.dst)"""
@@ -18,8 +18,8 @@ def placed(n):
     return n.select("idx", "kind", "name", *(((i * k % 2001) - 1000).cast("double").alias(c) for k, c in ((37, "x"), (911, "y"), (577, "z"))))
 
 
-def add(name, f, sql, more=""):
-    query(name, over_graph(sql, SEEDED + more) if sql else None)(graph(f))
+def add(name, f, sql, more="", over=graph):
+    query(name, over_graph(sql, SEEDED + more) if sql else None)(over(f))
 
 
 def links(n, e):
@@ -68,7 +68,7 @@ def count_k(df):
     return P3.k(df.count())
 
 
-add("l_repulsion_exact", lambda n, e: (lambda f: rounded(layout.exact_repulsion(f, count_k(f), True), 2))(placed(n)), f"SELECT {ROUND3.replace(', 3)', ', 2)')} FROM ({REPEL})")
+add("l_repulsion_exact", lambda n: (lambda f: rounded(layout.exact_repulsion(f, count_k(f), True), 2))(placed(n)), f"SELECT {ROUND3.replace(', 3)', ', 2)')} FROM ({REPEL})", over=nodes_alone)
 add("join_all_pairs", lambda n, e: (lambda f: rounded(layout.exact_repulsion(f, count_k(f), True, 512), 2))(placed(n)), f"SELECT {ROUND3.replace(', 3)', ', 2)')} FROM ({REPEL})")
 PULL = f"SELECT a.idx AS idx, sum(-(a.x - b.x) * sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / kk) AS fx, sum(-(a.y - b.y) * sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / kk) AS fy, sum(-(a.z - b.z) * sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / kk) AS fz FROM (SELECT src, dst FROM d UNION ALL SELECT dst, src FROM d) JOIN pos a ON a.idx = src JOIN pos b ON b.idx = dst, (SELECT 500.0::DOUBLE * 1000 / (1 + count(*)) AS kk FROM pos) WHERE src <> dst GROUP BY 1"
 add("l_attraction", lambda n, e: (lambda p: rounded(layout.attraction(p, links(n, e), count_k(p), True)))(placed(n)), f"SELECT {ROUND3} FROM ({PULL})")

@@ -35,6 +35,11 @@ def graph(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(tgraph.nodes(spark, sf_dir), tgraph.edges(spark, sf_dir))
 
 
+def nodes_alone(f: Callable[[DataFrame], DataFrame]) -> Query:
+    """For results of nodes alone: edges, which they don't depend on, aren't built."""
+    return lambda spark, sf_dir: f(tgraph.nodes(spark, sf_dir))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -54,4 +59,4 @@ def all_sql() -> dict[str, str]:
     return SQL
 
 
-__all__ = ["QUERIES", "SQL", "F", "all_queries", "all_sql", "empty", "graph", "model", "over_graph", "query", "table"]
+__all__ = ["QUERIES", "SQL", "F", "all_queries", "all_sql", "empty", "graph", "model", "nodes_alone", "over_graph", "query", "table"]

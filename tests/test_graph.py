@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kgraph import model, sql
 from kgraph.functions import numeric
 from kgraph.operators import export, layout, search, traversal
-from kgraph.plans import tgraph
+from kgraph.plans import registry, tgraph
 from kgraph.sources import graph_json, settings, text_graphs
 
 NODES = [
@@ -245,6 +245,14 @@ def test_graph_tables_make_node_rows_once(spark, monkeypatch):
     assert model.dangling(edges, nodes).isEmpty() and edges.agg(F.max("eidx") + 1).first()[0] == edges.count() > 0
 
 
+@pytest.mark.parametrize("name", ["l_repulsion_exact"])
+def test_repulsion_queries_build_no_edges(spark, monkeypatch, name):
+    monkeypatch.setattr(tgraph, "_edges", lambda *a: pytest.fail("edges are built, on which no row depends"))
+    monkeypatch.setattr(tgraph, "_BUILT", {})
+    got = registry.all_queries()[name](spark, "/root/testdata/sf0.001")
+    assert got.count() == tgraph.nodes(spark, "/root/testdata/sf0.001").count() > 0
+
+
 @pytest.mark.parametrize("three_d", [True, False])
 @pytest.mark.parametrize("broadcast", [layout.BROADCAST_PLACES, 0])
 def test_exact_repulsion_of_a_crowd(spark, monkeypatch, three_d, broadcast):
