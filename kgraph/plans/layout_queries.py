@@ -69,7 +69,7 @@ def count_k(df):
 
 
 add("l_repulsion_exact", lambda n: (lambda f: rounded(layout.exact_repulsion(f, count_k(f), True), 2))(placed(n)), f"SELECT {ROUND3.replace(', 3)', ', 2)')} FROM ({REPEL})", over=nodes_alone)
-add("join_all_pairs", lambda n, e: (lambda f: rounded(layout.exact_repulsion(f, count_k(f), True, 512), 2))(placed(n)), f"SELECT {ROUND3.replace(', 3)', ', 2)')} FROM ({REPEL})")
+add("join_all_pairs", lambda n: (lambda f: rounded(layout.exact_repulsion(f, count_k(f), True, 512), 2))(placed(n)), f"SELECT {ROUND3.replace(', 3)', ', 2)')} FROM ({REPEL})", over=nodes_alone)
 PULL = f"SELECT a.idx AS idx, sum(-(a.x - b.x) * sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / kk) AS fx, sum(-(a.y - b.y) * sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / kk) AS fy, sum(-(a.z - b.z) * sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / kk) AS fz FROM (SELECT src, dst FROM d UNION ALL SELECT dst, src FROM d) JOIN pos a ON a.idx = src JOIN pos b ON b.idx = dst, (SELECT 500.0::DOUBLE * 1000 / (1 + count(*)) AS kk FROM pos) WHERE src <> dst GROUP BY 1"
 add("l_attraction", lambda n, e: (lambda p: rounded(layout.attraction(p, links(n, e), count_k(p), True)))(placed(n)), f"SELECT {ROUND3} FROM ({PULL})")
 add("join_attraction", lambda n, e: (lambda p: layout.attraction(p, links(n, e), count_k(p), True).agg(F.count("*").alias("moved")))(placed(n)), "SELECT count(*) AS moved FROM (SELECT DISTINCT src FROM (SELECT src, dst FROM d UNION ALL SELECT dst, src FROM d) WHERE src <> dst)")

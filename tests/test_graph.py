@@ -245,7 +245,7 @@ def test_graph_tables_make_node_rows_once(spark, monkeypatch):
     assert model.dangling(edges, nodes).isEmpty() and edges.agg(F.max("eidx") + 1).first()[0] == edges.count() > 0
 
 
-@pytest.mark.parametrize("name", ["l_repulsion_exact"])
+@pytest.mark.parametrize("name", ["l_repulsion_exact", "join_all_pairs"])
 def test_repulsion_queries_build_no_edges(spark, monkeypatch, name):
     monkeypatch.setattr(tgraph, "_edges", lambda *a: pytest.fail("edges are built, on which no row depends"))
     monkeypatch.setattr(tgraph, "_BUILT", {})
